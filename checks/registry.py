@@ -92,6 +92,10 @@ def _expiring(retail: Retail) -> DataFrame:
     return out.withColumn("expiration_month", F.to_date("expiration_month"))
 
 
+# The other registries add their queries on import.
+from checks import oracle_sourcing, oracle_tables, registry_sourcing, registry_tables  # noqa: E402,F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(f):
         return lambda spark, folder: plain(f(Retail(spark, folder)))
@@ -99,4 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: prelude.with_ctes(sql) for name, sql in oracle_analyst.SQL.items()}
+    every = {**oracle_analyst.SQL, **oracle_tables.SQL, **oracle_sourcing.SQL}
+    return {name: prelude.with_ctes(sql) for name, sql in every.items()}

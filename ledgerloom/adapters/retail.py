@@ -65,9 +65,12 @@ class Retail:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = tune(spark), folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._open[name]
 
     # -- conformed tables -----------------------------------------------------------------
 
@@ -307,7 +310,7 @@ class Retail:
             F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(" II")),
             F.lit("ZZ"), F.col("c_custkey") * 2 + 1)
         return {
-            "LFA1_SUPPLIER_MASTER": supplier.where(key % 10 != 9).select(
+            "LFA1_SUPPLIER_MASTER": lambda lake, want: supplier.where(key % 10 != 9).select(
                 key.cast("string").alias("LIFNR"), F.col("s_name").alias("NAME1"),
                 country_of("s_nationkey").alias("LAND1"),
                 F.date_add(F.lit("1995-01-01").cast("date"), (key % 1000).cast("int")).alias("ERSDA"),
@@ -317,15 +320,15 @@ class Retail:
                 pick_from(list(SEGMENT_NUMBER), key % 5).alias("_industry_segment_affinity"),
                 pick_from(["Net15", "Net30", "Net45", "Net60"], key % 4).alias("_payment_terms"),
                 (key % 12 == 0).alias("_is_regulated_flag")),
-            "ap_supplier_sites_all": supplier.where((key % 3 != 2) | (key % 10 == 9)).select(
+            "ap_supplier_sites_all": lambda lake, want: supplier.where((key % 3 != 2) | (key % 10 == 9)).select(
                 (key + 500000).alias("vendor_site_id"), key.cast("string").alias("vendor_id_ext"),
                 country_of("s_nationkey").alias("country"),
                 F.when((key % 3 == 1) & (key % 10 != 9), "N").otherwise("Y").alias("purchasing_site_flag")),
-            "ar_customer_sites_all": customers.union(extra),
-            "contract_party": contracts.select(
+            "ar_customer_sites_all": lambda lake, want: customers.union(extra),
+            "contract_party": lambda lake, want: contracts.select(
                 contract_id.alias("contract_id"), F.lit("Customer").alias("party_role"),
                 F.col("o_custkey").cast("string").alias("party_id")),
-            "contract": contracts.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+            "contract": lambda lake, want: contracts.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
                 contract_id.alias("contract_id"),
                 F.concat(F.lit("N-"), F.col("o_orderkey").cast("string")).alias("contract_number"),
                 F.col("o_custkey").cast("string").alias("customer_id"), F.col("c_mktsegment").alias("entity_segment"),
@@ -335,19 +338,19 @@ class Retail:
                 pick_from(CURRENCIES, F.col("o_custkey") % 4).alias("currency"),
                 F.when(F.col("o_orderstatus") == "F", "Expired").otherwise("Active").alias("status"),
                 F.col("o_orderpriority").alias("commercial_terms"), F.lit("NONE").alias("governing_law")),
-            "contract_amendment": lines.where(F.col("l_returnflag") == "R").select(
+            "contract_amendment": lambda lake, want: lines.where(F.col("l_returnflag") == "R").select(
                 F.concat(F.lit("C-"), F.col("l_orderkey").cast("string")).alias("contract_id"),
                 F.col("l_linenumber").alias("amendment_no"),
                 F.when(F.col("l_linestatus") == "F", "TERMINATION").otherwise("VALUE_CHANGE").alias("amendment_type"),
                 shipped.alias("effective_date"), (-F.col("l_extendedprice")).alias("value_delta")),
-            "billing_schedule": orders.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+            "billing_schedule": lambda lake, want: orders.join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
                 F.col("o_orderkey").cast("string").alias("schedule_id"), contract_id.alias("contract_id"),
                 F.col("o_custkey").cast("string").alias("customer_id"), F.col("c_mktsegment").alias("segment_code"),
                 dated.alias("bill_date"), F.col("o_totalprice").alias("amount"),
                 pick_from(CURRENCIES, F.col("o_custkey") % 4).alias("currency"),
                 R.coded("o_orderstatus", {"F": "Paid", "O": "Scheduled"}, "Billed").alias("status")),
-            "ARIBA_CONTRACT_WORKSPACE": base.union(second).drop("_key"),
-            "ARIBA_SOURCING_EVENT": orders.select(
+            "ARIBA_CONTRACT_WORKSPACE": lambda lake, want: base.union(second).drop("_key"),
+            "ARIBA_SOURCING_EVENT": lambda lake, want: orders.select(
                 F.concat(F.lit("EV-"), F.col("o_orderkey").cast("string")).alias("EventId"),
                 pick_from(["RFQ", "RFP", "Auction"], F.col("o_orderkey") % 3).alias("EventType"),
                 F.lit("Event").alias("Title"), F.lit("ORG").alias("OwnerOrgUnit"),
@@ -356,32 +359,32 @@ class Retail:
                 (F.col("o_custkey") % 8 - F.col("o_custkey") % 8 % 3).cast("int").alias("SupplierRespondedCount"),
                 (F.col("o_custkey") % 100).cast("string").alias("AwardedSupplierId"),
                 F.col("o_totalprice").alias("AwardedAmount"), F.lit("Awarded").alias("Status")),
-            "ARIBA_SUPPLIER_PERFORMANCE": lines.select(
+            "ARIBA_SUPPLIER_PERFORMANCE": lambda lake, want: lines.select(
                 F.col("l_suppkey").cast("string").alias("SupplierId"),
                 R.quarter_label(F.year(shipped), F.quarter(shipped)).alias("EvaluationQuarter"),
                 (F.col("l_quantity") * 2).alias("OnTimeDeliveryPct"), (F.col("l_discount") * 50).alias("QualityScore"),
                 (F.col("l_tax") * 50).alias("ResponsivenessScore")).withColumn(
                 "OverallRating", R.overall_rating("OnTimeDeliveryPct", "QualityScore", "ResponsivenessScore")),
-            "EBAN_PR_HEADER": orders.select(
+            "EBAN_PR_HEADER": lambda lake, want: orders.select(
                 F.col("o_orderkey").cast("string").alias("BANFN"), company.alias("BUKRS"),
                 F.col("o_custkey").cast("string").alias("AFNAM"), dated.alias("ERDAT"), F.lit("NB").alias("BSART"),
                 R.coded("o_orderstatus", {"F": "B", "O": "L", "P": "X"}, None).alias("STATU"),
                 F.date_add(dated, 14).alias("LFDAT")),
-            "EBAN_PR_LINE": lines.select(
+            "EBAN_PR_LINE": lambda lake, want: lines.select(
                 F.col("l_orderkey").cast("string").alias("BANFN"), F.col("l_linenumber").alias("BNFPO"),
                 F.col("l_partkey").cast("string").alias("MATNR"), leaf.alias("MATGROUP"),
                 F.lit("text").alias("TXZ01"), F.col("l_quantity").alias("MENGE"), F.lit("EA").alias("MEINS"),
                 F.col("l_extendedprice").alias("PREIS"), F.lit(1).alias("PEINH"), F.lit("USD").alias("WAERS"),
                 F.col("l_suppkey").cast("string").alias("_supplier_intended"), leaf.alias("_true_category_primary"),
                 leaf.alias("_true_category_secondary")),
-            "po_headers_all": orders.select(
+            "po_headers_all": lambda lake, want: orders.select(
                 F.col("o_orderkey").alias("po_header_id"),
                 F.concat(F.lit("PO-"), F.col("o_orderkey").cast("string")).alias("segment1"),
                 F.lit("STANDARD").alias("type_lookup_code"), (F.col("o_custkey") % 100).cast("string").alias("vendor_id_ext"),
                 F.lit("01").alias("vendor_site_code"), dated.alias("creation_date"),
                 F.date_add(dated, 10).alias("approved_date"), F.lit("OPEN").alias("po_status")),
-            "po_lines_all": lines.select(
-                line_id().alias("po_line_id"), F.col("l_orderkey").alias("po_header_id"),
+            "po_lines_all": lambda lake, want: lines.select(
+                (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("po_line_id"), F.col("l_orderkey").alias("po_header_id"),
                 F.col("l_linenumber").alias("line_num"), F.col("l_partkey").cast("string").alias("item_id_ext"),
                 F.lit("text").alias("item_description"), F.col("l_quantity").alias("quantity_committed"),
                 F.col("l_tax").alias("unit_price"), F.lit("USD").alias("currency_code"),
@@ -389,7 +392,7 @@ class Retail:
                 F.col("l_orderkey").cast("string").alias("source_pr_number_ext"),
                 F.col("l_linenumber").alias("source_pr_line_num_ext"), segment.alias("_segment_code"),
                 leaf.alias("_true_category_primary"), leaf.alias("_true_category_secondary")),
-            "ap_invoices_all": orders.select(
+            "ap_invoices_all": lambda lake, want: orders.select(
                 F.col("o_orderkey").alias("invoice_id"),
                 F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("invoice_num"),
                 (F.col("o_custkey") % 100).cast("string").alias("vendor_id_ext"), F.lit("USD").alias("invoice_currency"),
@@ -400,7 +403,7 @@ class Retail:
                 F.when(F.col("o_orderstatus") == "F", "PAID").otherwise("OPEN_CURRENT").alias("payment_status_flag"),
                 F.when(F.col("o_orderstatus") == "P", "N").otherwise("Y").alias("po_matched_flag"),
                 F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("source_po_header_id")),
-            "ap_invoice_lines_all": lines.select(
+            "ap_invoice_lines_all": lambda lake, want: lines.select(
                 (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("invoice_line_id"),
                 F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line_number"),
                 F.lit("ITEM").alias("line_type_lookup_code"), F.lit("text").alias("item_description"),
@@ -408,7 +411,7 @@ class Retail:
                 F.col("l_extendedprice").alias("amount"), F.col("l_partkey").alias("po_line_id"),
                 F.col("l_suppkey").alias("code_combination_id"), segment.alias("_segment_code"),
                 leaf.alias("_true_category_primary"), leaf.alias("_true_category_secondary")),
-            "ar_invoices_all": orders.select(
+            "ar_invoices_all": lambda lake, want: orders.select(
                 F.col("o_orderkey").alias("customer_trx_id"),
                 F.concat(F.lit("AR-"), F.col("o_orderkey").cast("string")).alias("trx_number"),
                 F.col("o_custkey").cast("string").alias("cust_account_id_ext"), dated.alias("trx_date"),
@@ -418,11 +421,37 @@ class Retail:
                 R.coded("o_orderstatus", {"F": "PAID", "O": "OPEN"}, "PARTIAL").alias("status")),
         }
 
+    def ledger_raw(self) -> dict:
+        """Raw-shaped ledger and workforce tables that are themselves derived."""
+        own = self.lake
+        code = R.coded("entity_code", {"1": "HAD", "2": "HPA", "3": "HSB", "4": "HET"}, "XXX")
+        return {
+            "gl_code_combinations": lambda lake, want: self.coa_account(own(), None).select(
+                "code_combination_id", F.col("entity_code").alias("segment1_entity"),
+                F.col("cost_center_code").alias("segment2_cost_center"),
+                F.col("natural_account_code").alias("segment3_natural_account"),
+                F.col("product_code").alias("segment4_product"), F.col("intercompany_code").alias("segment5_intercompany"),
+                F.lit("0000").alias("segment6_future1"), F.lit("0000").alias("segment7_future2"),
+                "natural_account_description", "natural_account_type", code.alias("_segment_code"), "enabled_flag"),
+            "gl_je_headers": lambda lake, want: self.gl_journal_header(own(), None),
+            "gl_je_lines": lambda lake, want: self.gl_journal_line(own(), None),
+            "workers": lambda lake, want: own()["dim_employees"].select(
+                F.col("employee_id").alias("worker_id"), "version_seq", F.to_date("effective_from").alias("effective_date"),
+                F.to_date("effective_to").alias("effective_through"), F.col("is_current").alias("is_current_row"),
+                F.lit("A").alias("worker_name_first"), F.lit("B").alias("worker_name_last"), F.lit("a@b").alias("work_email"),
+                R.null("date", "hire_date"), R.null("date", "termination_date"),
+                F.initcap("employment_status").alias("worker_status"), F.col("segment_code").alias("organization_id"),
+                F.lit("CC1").alias("cost_center_id"), F.lit("US").alias("country_code"), F.lit("NA").alias("region"),
+                F.lit("Ops").alias("job_family"), F.lit("G1").alias("compensation_grade"),
+                F.col("annual_base_salary_usd").alias("annual_base_salary_amount"), F.lit("USD").alias("currency_code")),
+            "invoice_classifications": lambda lake, want: self.invoice_classification(own(), None),
+        }
+
     # -- lakes ----------------------------------------------------------------------------
 
     def conforming_lake(self) -> Lake:
         """Raw-shaped tables with all library builders on top."""
-        return Lake({**gold.derived(), **self.raw()})
+        return Lake({**gold.derived(), **self.raw(), **self.ledger_raw()})
 
     def lake(self) -> Lake:
         """Conformed tables for the analyst queries; gold tables come from the library builders."""

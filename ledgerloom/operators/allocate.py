@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.keyed import null_safe_join
 
 
+def cents(value) -> Column:
+    """Round half up to cents, after dropping binary noise below the eighth decimal."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value.cast("decimal(28,8)"), 2).cast("decimal(18,2)")
+
+
 def allocate(parts: DataFrame, by: list[str], total: str, weight: str, name: str) -> DataFrame:
     """Split each group's total over its rows by weight; all-zero weights split it equally."""
     sums = parts.groupBy(*by).agg(F.sum(weight).cast("double").alias("_w"), F.count("*").alias("_k"))
@@ -32,7 +38,7 @@ def rescale(lines: DataFrame, targets: DataFrame, by: list[str], amount: str, ta
     factors.count()
     out = null_safe_join(lines, factors, by, "left")
     for c in [amount, *also]:
-        scaled = F.round(F.col(c).cast("double") * F.coalesce("_f", F.lit(1.0)), 2).cast("decimal(18,2)")
+        scaled = cents(F.col(c).cast("double") * F.coalesce("_f", F.lit(1.0)))
         out = out.withColumn(c, scaled)
     return out.drop("_f")
 
@@ -44,11 +50,11 @@ def settle_residual(lines: DataFrame, document: str, order: list[str], amount: s
     One aggregate per document finds the sum and the last line (combined map-side, so a document
     with very many lines is no problem), then a join brings both back to the lines.
     """
-    rounded = lines.withColumn(name, F.round(amount, 2).cast("decimal(18,2)"))
+    rounded = lines.withColumn(name, cents(amount))
     documents = rounded.groupBy(document).agg(
         F.sum(name).alias("_sum"), F.max(F.struct(*order)).alias("_last"))
     is_last = F.struct(*order) == F.col("_last")
-    gap = F.round(total, 2).cast("decimal(18,2)") - F.col("_sum")
+    gap = cents(total) - F.col("_sum")
     return rounded.join(documents, document) \
         .withColumn(name, (F.col(name) + F.when(is_last, gap).otherwise(0)).cast("decimal(18,2)")) \
         .drop("_sum", "_last")

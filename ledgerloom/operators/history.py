@@ -42,16 +42,17 @@ def snapshot(history: DataFrame, dates: DataFrame, date: str = "snapshot_date",
     `step` is "day" for arbitrary dates, or "quarter" when every date is a quarter end.
     """
     bounds = dates.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    first = F.greatest(F.to_date(start), lo)
-    # A version that begins during a day is not yet valid at that day's midnight.
-    if dict(history.dtypes)[start] != "date":
-        first = F.greatest(F.when(F.col(start) == F.to_date(start).cast(dict(history.dtypes)[start]),
-                                  F.to_date(start)).otherwise(F.date_add(F.to_date(start), 1)), lo)
-        last_day = F.date_sub(F.to_date(F.col(end) - F.expr("interval 1 microsecond")), 0)
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    kind = dict(history.dtypes)[start]
+    if kind == "date":
+        first, last_day = F.col(start), F.date_sub(end, 1)
     else:
-        last_day = F.date_sub(F.col(end), 1)
+        # A date stands for its midnight: a version counts from the first midnight at or after its
+        # start to the last one before its end.
+        midnight = F.to_date(start).cast(kind)
+        first = F.when(F.col(start) == midnight, F.to_date(start)).otherwise(F.date_add(F.to_date(start), 1))
+        last_day = F.to_date(F.col(end) - F.expr("interval 1 microsecond"))
+    first = F.greatest(first, lo)
     last = F.least(last_day, hi)
     covered = history.withColumn("_a", first).withColumn("_z", last).where(F.col("_a") <= F.col("_z"))
     if step == "quarter":

@@ -113,7 +113,7 @@ def derive_orders(requests: DataFrame, order_id: Column) -> DataFrame:
     live = requests.where((F.col("pr_status") == "released") & (F.col("segment_code") != "CORP"))
     first = live.groupBy("pr_number").agg(
         F.min_by(F.struct("intended_supplier_id", "currency"),
-                 F.struct("pr_line_num", "source_primary_key")).alias("_f"))
+                 F.struct("pr_line_num", "source_primary_key", "intended_supplier_id", "currency")).alias("_f"))
     return live.join(first, "pr_number").select(
         order_id.alias("po_number"), F.col("pr_line_num").alias("po_line_num"),
         F.col("_f.intended_supplier_id").alias("supplier_id"),
