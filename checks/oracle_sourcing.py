@@ -8,7 +8,7 @@ KEY = "fiscal_year || '/' || fiscal_quarter || '/' || segment_code"
 LEVEL = lambda a, t, tol, bad: (
     f"CASE WHEN {t} = 0 THEN CASE WHEN abs({a}) <= 1 THEN 'ok' ELSE '{bad}' END"
     f" WHEN abs({a} - {t}) <= abs({t}) * {tol} THEN 'ok' ELSE '{bad}' END AS level")
-DRIFT = lambda a, t: f"round(CASE WHEN {t} = 0 THEN 0.0 ELSE CAST({a} - {t} AS DOUBLE) / CAST({t} AS DOUBLE) END, 6) AS drift"
+DRIFT = lambda a, t: f"CASE WHEN {t} = 0 THEN 0.0 ELSE CAST({a} - {t} AS DOUBLE) / CAST({t} AS DOUBLE) END + 0.0 AS drift"
 GATE = lambda gate, key, a, t, tol, bad: (
     f"SELECT '{gate}' AS gate, {key} AS key, {D(a, 'actual')}, {D(t, 'target')}, {DRIFT(a, t)}, {LEVEL(a, t, tol, bad)}")
 MAV = "CASE WHEN l_suppkey % 10 <> 9 THEN (l_suppkey % 30) / 100 ELSE 0.0 END"
@@ -26,7 +26,7 @@ ACTIVE = "(SELECT DISTINCT supplier_id FROM ci WHERE status = 'Active')"
 
 EVAL = f"""
   ft AS (SELECT *, {PART} AS part FROM pred),
-  fl AS (SELECT gl_account, true_category_secondary AS guess FROM ft WHERE part = 'train' GROUP BY ALL
+  fl AS (SELECT gl_account, true_category_secondary AS guess FROM ft WHERE part = 'train' GROUP BY 1, 2
     QUALIFY row_number() OVER (PARTITION BY gl_account ORDER BY count(*) DESC, true_category_secondary) = 1),
   src AS (SELECT 'challenger' AS model_alias, CASE part WHEN 'maverick' THEN 'maverick_holdout' ELSE part END AS slice,
       true_category_secondary AS t, true_category_primary AS tp, pl AS g, pp AS gp FROM ft WHERE part <> 'train'
@@ -88,12 +88,12 @@ SQL = {
         round(quantile_disc(lc, 0.1), 4) AS p10_leaf_confidence, round(quantile_disc(lc, 0.9), 4) AS p90_leaf_confidence,
         round({mean('pc')}, 4) AS mean_parent_confidence, round(quantile_disc(pc, 0.1), 4) AS p10_parent_confidence,
         round(quantile_disc(pc, 0.9), 4) AS p90_parent_confidence FROM pred WHERE pl IS NOT NULL""",
-    "missing_labels": """SELECT DISTINCT true_category_secondary FROM inv WHERE segment_code = 'BUILDING'
-        EXCEPT SELECT true_category_secondary FROM inv WHERE segment_code = 'MACHINERY'""",
+    "missing_labels": """SELECT DISTINCT true_category_secondary FROM inv
+        EXCEPT SELECT true_category_secondary FROM inv WHERE supplier_id = '1'""",
     "clf_features": f"""SELECT invoice_line_id, line_description, inv.supplier_id, segment_code, inv.payment_terms, currency, region AS supplier_region,
         gl_account, direct_indirect, addressability, coalesce(category_primary, '__NA__') AS category_primary_hint,
         round(ln(1 + CAST(amount AS DOUBLE)), 6) AS log_amount, round(ln(1 + CAST(quantity AS DOUBLE)), 6) AS log_quantity,
-        round(ln(1 + CAST(CAST(amount / quantity AS DECIMAL(18,2)) AS DOUBLE)), 6) AS log_unit_price,
+        round(ln(1 + ((CAST(amount * 100 AS BIGINT) * 2 + CAST(quantity AS BIGINT)) // (2 * CAST(quantity AS BIGINT))) / 100), 6) AS log_unit_price,
         coalesce(maverick_propensity, 0.0) AS supplier_maverick_propensity, true_category_secondary AS label,
         true_category_primary AS label_primary, coalesce(maverick_propensity, 0.0) > 0.15 AS is_maverick_supplier
         FROM inv JOIN sup ON sup.supplier_id = inv.supplier_id""",
@@ -143,10 +143,10 @@ SQL = {
         FROM ci LEFT JOIN inv ON inv.supplier_id = ci.supplier_id AND invoice_date >= DATE '1995-01-01'
           AND invoice_date <= least(expiration_date, DATE '1999-07-01')
         WHERE ci.status = 'Active' AND contract_type IN ('SOW', 'PRICING_AGREEMENT') GROUP BY 1, 2, 3""",
-    "renewal_queue": f"""SELECT contract_workspace_id, ci.supplier_id, expiration_date, CAST(expiration_date - DATE '1998-01-15' AS INT) AS days_left,
+    "renewal_queue": f"""SELECT contract_workspace_id, ci.supplier_id, expiration_date, CAST(expiration_date - DATE '1998-01-03' AS INT) AS days_left,
         {D('coalesce(sum(amount), 0)', 'trailing_spend')} FROM ci LEFT JOIN inv ON inv.supplier_id = ci.supplier_id
-          AND invoice_date > DATE '1997-01-15' AND invoice_date <= DATE '1998-01-15'
-        WHERE expiration_date BETWEEN DATE '1998-01-15' AND DATE '1998-01-15' + 180 GROUP BY 1, 2, 3""",
+          AND invoice_date > DATE '1997-01-03' AND invoice_date <= DATE '1998-01-03'
+        WHERE expiration_date BETWEEN DATE '1998-01-03' AND DATE '1998-01-03' + 180 GROUP BY 1, 2, 3""",
     "contract_leakage": f"""SELECT segment_code, supplier_id, count(*) AS leaked_lines, {D('sum(amount)', 'leaked_amount')} FROM inv
         WHERE supplier_id IN {ACTIVE} AND NOT EXISTS (SELECT 1 FROM ci WHERE ci.supplier_id = inv.supplier_id AND ci.status = 'Active'
           AND invoice_date BETWEEN DATE '1995-01-01' AND ci.expiration_date) GROUP BY 1, 2""",
@@ -187,4 +187,12 @@ SQL = {
             count(*) FILTER (pl = true_category_secondary) / CAST(count(*) AS DOUBLE) AS acc FROM pred GROUP BY 1, 2)
         SELECT 'challenger' AS model_alias, slice, evaluated_at, round(acc, 6) AS secondary_top1_accuracy,
           round(acc - lag(acc) OVER (PARTITION BY slice ORDER BY evaluated_at), 6) AS change FROM r""",
+    "supplier_resolution": """WITH RECURSIVE p AS (SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS b, p_name || ' brand' AS t FROM part),
+          n AS (SELECT b, t, min(p_partkey) AS node FROM p GROUP BY 1, 2),
+          f AS (SELECT node, b || '|' || t AS form FROM n UNION
+            SELECT node, b || '|' || substr(t, 1, i - 1) || substr(t, i + 1) FROM (SELECT *, CAST(unnest(range(1, length(t) + 1)) AS INT) AS i FROM n)),
+          e AS (SELECT DISTINCT x.node AS u, y.node AS v FROM f x JOIN f y USING (form)),
+          r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+          c AS (SELECT u, min(v) AS root FROM r GROUP BY 1)
+        SELECT p_partkey AS supplier_id, root AS canonical_supplier_id FROM p JOIN n USING (b, t) JOIN c ON c.u = n.node""",
 }

@@ -193,7 +193,7 @@ def split_gate(train: DataFrame, holdout: DataFrame, maverick: DataFrame, source
     parts = train.select("label", F.lit("train").alias("part")) \
         .unionByName(holdout.select("label", F.lit("holdout").alias("part"))) \
         .unionByName(maverick.select("label", F.lit("maverick").alias("part")))
-    per_label = parts.groupBy("label").pivot("part", ["train", "holdout", "maverick"]).agg(F.count("*")) \
+    per_label = parts.groupBy("label").pivot("part", ["train", "holdout", "maverick"]).agg(F.count(F.lit(1))) \
         .na.fill(0)
     row = lambda gate, key, actual, target, level: [
         F.lit(gate).alias("gate"), key.alias("key"), actual.cast("double").alias("actual"),
