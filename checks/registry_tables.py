@@ -176,7 +176,8 @@ def _residual(retail: Retail) -> DataFrame:
     lines = lake.pick("invoice_ap", "invoice_id", "line_number", "invoice_line_id", "quantity")
     totals = retail.read("orders").select(F.col("o_orderkey").alias("invoice_id"), R.money("o_totalprice", "total"))
     spread = allocate.allocate(lines.join(totals, "invoice_id"), ["invoice_id"], "total", "quantity", "part")
-    return allocate.settle_residual(spread, "invoice_id", ["line_number", "invoice_line_id"], "part", "total", "amount") \
+    return allocate.settle_residual(spread, "invoice_id", ["line_number", "invoice_line_id"], "part",
+                                    totals, "total", "amount") \
         .select("invoice_line_id", "amount")
 
 

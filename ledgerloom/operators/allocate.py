@@ -43,21 +43,22 @@ def rescale(lines: DataFrame, targets: DataFrame, by: list[str], amount: str, ta
     return out.drop("_f")
 
 
-def settle_residual(lines: DataFrame, document: str, order: list[str], amount: str, total: str,
-                    name: str) -> DataFrame:
+def settle_residual(lines: DataFrame, document: str, order: list[str], amount: str, totals: DataFrame,
+                    total: str, name: str) -> DataFrame:
     """Round line amounts to cents and let the last line absorb what the document total lacks.
 
-    One aggregate per document finds the sum and the last line (combined map-side, so a document
-    with very many lines is no problem), then a join brings both back to the lines.
+    `totals` holds the document and its total. One aggregate per document finds the sum and the
+    last line (combined map-side, so a document with very many lines is no problem); the lines are
+    joined once, with what their document's last line has to take.
     """
     rounded = lines.withColumn(name, cents(amount))
-    documents = rounded.groupBy(document).agg(
-        F.sum(name).alias("_sum"), F.max(F.struct(*order)).alias("_last"))
+    sums = rounded.groupBy(document).agg(F.sum(name).alias("_sum"), F.max(F.struct(*order)).alias("_last"))
+    gaps = sums.join(totals.select(document, cents(total).alias("_total")), document) \
+        .select(document, "_last", (F.col("_total") - F.col("_sum")).alias("_gap"))
     is_last = F.struct(*order) == F.col("_last")
-    gap = cents(total) - F.col("_sum")
-    return rounded.join(documents, document) \
-        .withColumn(name, (F.col(name) + F.when(is_last, gap).otherwise(0)).cast("decimal(18,2)")) \
-        .drop("_sum", "_last")
+    return rounded.join(gaps, document) \
+        .withColumn(name, (F.col(name) + F.when(is_last, F.col("_gap")).otherwise(0)).cast("decimal(18,2)")) \
+        .drop("_gap", "_last")
 
 
 def split_by_mix(totals: DataFrame, mix: DataFrame, measures: list[str], digits: int = 1) -> DataFrame:

@@ -45,7 +45,7 @@ def documents_of(lines: DataFrame) -> DataFrame:
         F.min("cash_account").alias("cash_account"),
         # Paid once every line is paid, on the day of the last payment.
         F.when(F.count("payment_date") == F.count("*"), F.max("payment_date")).alias("payment_date"),
-        F.sum("amount").cast("decimal(18,2)").alias("invoice_amount"))
+        F.sum("amount").cast("decimal(18,2)").alias("invoice_amount"), F.count("*").alias("lines"))
 
 
 def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
@@ -56,9 +56,7 @@ def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
     numbered through bounded slices, so a document of any length is spread over tasks.
     """
     order = ["line_number", "invoice_line_id"]
-    totals = documents.select("invoice_id", "invoice_amount")
-    booked = settle_residual(lines.join(totals, "invoice_id"), "invoice_id", order, "amount",
-                             "invoice_amount", "_debit")
+    booked = settle_residual(lines, "invoice_id", order, "amount", documents, "invoice_amount", "_debit")
     booked = along(booked, ["invoice_id"], order,
                    F.floor(F.coalesce("line_number", F.lit(0)) / lines_per_slice), number="_no")
     zero = F.lit(0).cast("decimal(18,2)")
@@ -68,12 +66,11 @@ def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
         F.col("_debit").alias("entered_dr"), zero.alias("entered_cr"),
         F.col("_debit").alias("accounted_dr"), zero.alias("accounted_cr"),
         F.concat(F.lit("AP "), "invoice_number", F.lit(" line "), F.col("_no").cast("string")).alias("description"))
-    counts = lines.groupBy("invoice_id").agg(F.count("*").alias("_lines"))
-    credits = documents.join(counts, "invoice_id").select(
+    credits = documents.select(
         je_id.alias("je_header_id"),
         _entry(0, "payables_account", None, "invoice_amount",
-               F.concat(F.lit("AP "), "invoice_number", F.lit(" credit"))).alias("_e"), "_lines") \
-        .select("je_header_id", (F.col("_lines") + 1).cast("int").alias("je_line_num"),
+               F.concat(F.lit("AP "), "invoice_number", F.lit(" credit"))).alias("_e"), "lines") \
+        .select("je_header_id", (F.col("lines") + 1).cast("int").alias("je_line_num"),
                 *[f"_e.{c}" for c in LINE_COLUMNS[2:]])
     header = _header(documents, je_id, "Payables", "Purchase Invoices", "invoice_date", "currency")
     return header, debits.unionByName(credits)
