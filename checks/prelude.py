@@ -48,9 +48,9 @@ SEGNO = "coalesce(list_position(" + SEGS + ", c_mktsegment), 9)"
 ACCOUNT = ("CASE p_type WHEN 'ECONOMY' THEN '5000' WHEN 'STANDARD' THEN '5030' WHEN 'LARGE' THEN '6020'"
            " WHEN 'MEDIUM' THEN '6030' WHEN 'PROMO' THEN '7000' ELSE '6040' END")
 KIND = "CASE WHEN p_type IN ('ECONOMY','STANDARD') THEN 'COGS' WHEN p_type = 'PROMO' THEN 'RD' ELSE 'SGA' END"
-LINE_ID = ("md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)),"
-           " CAST(l_extendedprice AS DECIMAL(18,2)), CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)),"
-           " l_returnflag, l_linestatus, CAST(l_shipdate AS DATE)))")
+CENTS = lambda c: f"CAST(round({c} * 100) AS BIGINT)"
+LINE_ID = (f"md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, {CENTS('l_quantity')}, {CENTS('l_extendedprice')},"
+           f" {CENTS('l_discount')}, {CENTS('l_tax')}, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) - DATE '1970-01-01'))")
 
 CTES = {
     "inv": f"""

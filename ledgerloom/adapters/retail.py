@@ -53,12 +53,12 @@ def country_of(nation) -> Column:
 
 def line_id() -> Column:
     """Identity of an order line: no column pair is unique, so all columns are hashed."""
-    text = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     whole = lambda c: F.col(c).cast("string")
+    cents = lambda c: F.rint(F.col(c) * 100).cast("bigint").cast("string")
     return F.md5(F.concat_ws(
         "|", whole("l_orderkey"), whole("l_partkey"), whole("l_suppkey"), whole("l_linenumber"),
-        text("l_quantity"), text("l_extendedprice"), text("l_discount"), text("l_tax"),
-        "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").cast("string")))
+        cents("l_quantity"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"),
+        "l_returnflag", "l_linestatus", F.unix_date(F.col("l_shipdate").cast("date")).cast("string")))
 
 
 def exact_money(value) -> Column:

@@ -49,7 +49,8 @@ class Lake:
         for name in names:
             frame = self[name]
             path = scratch(frame.sparkSession, name)
-            frame.write.parquet(path)
+            # Rebalanced, so that files are of even size however the rows were spread.
+            frame.hint("rebalance").write.parquet(path)
             written[name] = frame.sparkSession.read.schema(frame.schema).parquet(path)
         return self.extend(written)
 
