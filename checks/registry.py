@@ -63,7 +63,7 @@ QUERIES.update({
     "bridge_conversion": on_lake(spend.q_sp11), "prediction_accuracy": on_lake(spend.q_sp12),
     "confusion": on_lake(spend.q_sp13), "stage_counts": on_lake(spend.stage_counts),
     "revenue_by_segment_quarter": on_lake(revenue.q_rv1), "top_customers": on_lake(revenue.q_rv2),
-    "billing_status": on_lake(revenue.q_rv3), "contract_values": on_lake(revenue.q_rv4, accuracy=10_000_000),
+    "billing_status": on_lake(revenue.q_rv3), "contract_values": on_lake(revenue.q_rv4, accuracy=100_000),
     "currency_mix": on_lake(revenue.q_rv5), "ar_flow": on_lake(revenue.q_rv6),
     "journal_volume": on_lake(accounting.q_ac1), "journal_balance": on_lake(accounting.q_ac2),
     "latest_trial_balance": on_lake(accounting.q_ac3), "coa_coverage": on_lake(accounting.q_ac4),

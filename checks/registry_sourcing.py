@@ -129,7 +129,7 @@ def _coverage(retail: Retail) -> DataFrame:
 
 @query("prediction_summary")
 def _summary(retail: Retail) -> DataFrame:
-    return M.prediction_summary(retail.lake()["invoice_classification"], accuracy=10_000_000)
+    return M.prediction_summary(retail.lake()["invoice_classification"], accuracy=100_000)
 
 
 @query("missing_labels")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import on_lake, query
-from ledgerloom.adapters.retail import Retail, pick_from, PART_TYPES
+from checks.registry import query
+from ledgerloom.adapters.retail import Retail
 from ledgerloom.functions import rules as R
 from ledgerloom.operators import allocate, posting, series
 from ledgerloom.operators.history import scd2, snapshot
 from ledgerloom.operators.keyed import sample_rows
 from ledgerloom.sinks.tables import merged
 from ledgerloom.sources.files import period_calendar
-from ledgerloom.tables import gold, silver
+from ledgerloom.tables import gold, macro
 
 GROUP = ["fiscal_year", "fiscal_quarter", "segment_code"]
 
@@ -26,7 +26,6 @@ def conformed(name: str, table: str, *columns: str):
     query(name)(run)
 
 
-LINEAGE = ("source_system", "source_table", "source_primary_key")
 conformed("silver_supplier", "supplier")
 conformed("dim_supplier_dedup", "dim_supplier")
 conformed("customer_master", "customer")
@@ -199,6 +198,22 @@ def _compound(retail: Retail) -> DataFrame:
     return series.compound(_monthly(retail), [], "m", rate, "v").select("m", F.round("v", 6).alias("idx"))
 
 
+@query("macro_environment")
+def _macro(retail: Retail) -> DataFrame:
+    """Growth known in the first month of each quarter, as the month's orders relative to a fixed level."""
+    months = _monthly(retail).select(F.col("m").alias("period_month"),
+                                     F.when(F.month("m") % 3 == 1, F.col("n") / 100.0).alias("growth"))
+    out = macro.macro_environment(months)
+    return out.select("period_month", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("secondary_categories")
+def _codes(retail: Retail) -> DataFrame:
+    """JSON code lists of suppliers unpacked to one row per code."""
+    rows = retail.read("part").select("p_partkey", F.to_json(F.array("p_type", "p_brand")).alias("codes"))
+    return rows.select("p_partkey", F.explode(R.code_list("codes")).alias("code"))
+
+
 @query("lagged_series")
 def _lagged(retail: Retail) -> DataFrame:
     return series.lag_clamped(_monthly(retail), [], "m", "n", 2, "lagged")

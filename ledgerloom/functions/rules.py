@@ -183,6 +183,11 @@ def overall_rating(on_time, quality, responsiveness) -> Column:
     return F.round((col(on_time) / 20 + col(quality) + col(responsiveness)) / 3, 2)
 
 
+def code_list(json_text) -> Column:
+    """A JSON array of codes, as the supplier master stores secondary categories."""
+    return F.from_json(col(json_text), "array<string>")
+
+
 def text_key(value) -> Column:
     return F.sha2(col(value), 256)
 

@@ -1,0 +1,37 @@
+"""Monthly macro indices from a few known growth rates: interpolated, compounded, standardised, lagged."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import series
+
+# Sensitivity of each demand index to growth, and the seasonal factor of each month.
+DEMAND_BETA = {"demand_idx_sales": 1.3, "demand_idx_mfg": 1.1, "demand_idx_back_office": 0.6}
+DEMAND_SCALE, STRESS_BETA, LABOUR_BETA, LABOUR_LAG = 0.15, 0.4, 0.5, 2
+STRESS_PEAK = (2024, [10, 11, 12], 0.3)
+SEASON = [0.92, 0.95, 1.02, 1.00, 1.03, 1.05, 0.97, 0.95, 1.04, 1.08, 1.10, 1.06]
+INFLATION_BASE, INFLATION_SLOPE, INFLATION_PIVOT, INFLATION_RANGE = 0.045, 0.025, 2.5, (0.03, 0.08)
+
+
+def macro_environment(months: DataFrame, known: str = "growth", at: str = "period_month") -> DataFrame:
+    """The eight indices per month. `months` is a month spine whose growth is filled only where known.
+
+    No random texture is added: the series follows from the known values alone.
+    """
+    out = series.interpolate(months, [], at, known, "gdp_growth_idx")
+    slack = F.greatest(INFLATION_PIVOT - F.col("gdp_growth_idx"), F.lit(0.0)) / INFLATION_PIVOT
+    rate = series.monthly_rate(INFLATION_BASE + INFLATION_SLOPE * slack, *INFLATION_RANGE)
+    out = series.compound(out, [], at, rate, "inflation_idx")
+    out = series.standardise(out, "gdp_growth_idx", "_z")
+    for name, beta in DEMAND_BETA.items():
+        out = out.withColumn(name, 1 + beta * DEMAND_SCALE * F.col("_z"))
+    year, peak_months, extra = STRESS_PEAK
+    peak = (F.year(at) == year) & F.month(at).isin(peak_months)
+    out = out.withColumn("supply_chain_stress_idx", 1 + STRESS_BETA * F.col("_z") + F.when(peak, extra).otherwise(0.0))
+    out = series.lag_clamped(out, [], at, "_z", LABOUR_LAG, "_lagged")
+    season = F.element_at(F.array(*map(F.lit, SEASON)), F.month(at))
+    return out.select(at, "gdp_growth_idx", "inflation_idx", *DEMAND_BETA, "supply_chain_stress_idx",
+                      (1 + LABOUR_BETA * F.col("_lagged")).alias("labor_market_tightness"),
+                      season.alias("seasonality_idx"))
