@@ -12,6 +12,7 @@ from ledgerloom.classify import evaluate as E
 from ledgerloom.classify import features as X
 from ledgerloom.classify import model as M
 from ledgerloom.functions import rules as R
+from ledgerloom.lake import settled
 from ledgerloom.operators.keyed import coverage, missing_keys
 from ledgerloom.operators.resolve import resolve_suppliers
 from ledgerloom.plans import sourcing
@@ -90,7 +91,7 @@ def _labels(retail: Retail) -> DataFrame:
 
 @query("split_sanity")
 def _split_gate(retail: Retail) -> DataFrame:
-    rows = X.features(retail.lake())
+    rows = settled(X.features(retail.lake()).select("label", X.KEY, "is_maverick_supplier"), "features")
     count = retail.read("lineitem").count()
     return gates.split_gate(*X.split(rows), source_rows=count).select("gate", "key", "actual", "target", "level")
 
@@ -171,7 +172,8 @@ def _metrics(retail: Retail) -> DataFrame:
     """The stand-in predictions and the account lookup on both evaluation slices."""
     lake = retail.lake()
     predictions = lake.pick("invoice_classification", X.KEY, "predicted_primary_category", "predicted_secondary_category")
-    rows = X.features(lake)
+    # Written once, like the split tables of the training workflow: six steps read it.
+    rows = settled(X.features(lake).select(X.KEY, "gl_account", "label", "label_primary", "is_maverick_supplier"), "features")
     train, holdout, maverick = X.split(rows)
     slices = holdout.withColumn("slice", F.lit("holdout")).unionByName(maverick.withColumn("slice", F.lit("maverick_holdout")))
     model = slices.join(predictions, X.KEY, "left").withColumn("model_alias", F.lit("challenger"))

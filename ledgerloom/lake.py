@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import scratch
 
+def settled(frame: DataFrame, name: str = "table") -> DataFrame:
+    """Write a frame to a fresh folder below the shared one and return the written copy."""
+    path = scratch(frame.sparkSession, name)
+    # Rebalanced, so that files are of even size however the rows were spread.
+    frame.hint("rebalance").write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 Builder = Callable[["Lake", "set[str] | None"], DataFrame]
 
 
@@ -45,14 +53,7 @@ class Lake:
         For tables a query reads several times: they are computed once, and a lost executor
         costs a re-read instead of a second derivation.
         """
-        written = {}
-        for name in names:
-            frame = self[name]
-            path = scratch(frame.sparkSession, name)
-            # Rebalanced, so that files are of even size however the rows were spread.
-            frame.hint("rebalance").write.parquet(path)
-            written[name] = frame.sparkSession.read.schema(frame.schema).parquet(path)
-        return self.extend(written)
+        return self.extend({name: settled(self[name], name) for name in names})
 
     def names(self) -> list[str]:
         return list(self._tables)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fixed
 from ledgerloom.functions import rules as R
-from ledgerloom.lake import Lake
+from ledgerloom.lake import Lake, settled
 from ledgerloom.operators.keyed import null_safe_join, one_per_key, top_k, with_total
 from ledgerloom.plans.legal import today, without_contract
 
@@ -26,19 +26,22 @@ def classified(lake: Lake) -> DataFrame:
         .groupBy(*GROUP, PARENT, LEAF, "supplier_id").agg(F.sum("amount").alias("spend"))
 
 
-def parent_rollup(lake: Lake) -> DataFrame:
+def _base(lake: Lake, base: DataFrame | None) -> DataFrame:
+    return classified(lake) if base is None else base
+
+
+def parent_rollup(lake: Lake, base: DataFrame | None = None) -> DataFrame:
     """Spend and suppliers per parent category, segment and quarter."""
-    return classified(lake).groupBy(*GROUP, PARENT).agg(
+    return _base(lake, base).groupBy(*GROUP, PARENT).agg(
         R.exact_sum("spend").alias("parent_spend"), F.count_distinct("supplier_id").alias("suppliers_in_parent"))
 
 
-def leaf_concentration(lake: Lake) -> DataFrame:
+def leaf_concentration(lake: Lake, base: DataFrame | None = None) -> DataFrame:
     """Herfindahl index of supplier shares within each leaf (1 = a single supplier).
 
     The sum of squares over the square of the sum: two plain sums, no join back to the total.
     """
-    spend = F.col("spend").cast("double")
-    sums = classified(lake).groupBy(*GROUP, PARENT, LEAF, "supplier_id").agg(F.sum("spend").alias("spend"))
+    sums = _base(lake, base)
     squares = F.sum((F.col("spend") * F.col("spend")).cast("decimal(38,4)")).cast("double")
     total = F.sum("spend").cast("double")
     return sums.groupBy(*GROUP, PARENT, LEAF).agg(
@@ -69,10 +72,10 @@ def _with_hint(base: DataFrame, lake: Lake) -> DataFrame:
     return base.join(hint, "supplier_id", "left")
 
 
-def maverick_spend(lake: Lake, hint_tier: str = LEAF) -> DataFrame:
+def maverick_spend(lake: Lake, hint_tier: str = LEAF, base: DataFrame | None = None) -> DataFrame:
     """Spend outside the supplier's own category; a supplier without one is not counted as maverick."""
     off = F.when(F.col("_hint") != F.col(hint_tier), F.col("spend")).otherwise(0)
-    return _with_hint(classified(lake), lake).groupBy(*GROUP, PARENT, LEAF).agg(
+    return _with_hint(_base(lake, base), lake).groupBy(*GROUP, PARENT, LEAF).agg(
         R.exact_sum(off).alias("maverick_spend"), R.exact_sum("spend").alias("total_spend"))
 
 
@@ -84,9 +87,9 @@ def maverick_suppliers(lake: Lake, n: int = 50, hint_tier: str = LEAF) -> DataFr
     return top_k(ranked, [F.desc("maverick_spend"), F.col("supplier_id")], n)
 
 
-def off_contract_by_leaf(lake: Lake) -> DataFrame:
-    base = without_contract(classified(lake), lake.pick("contract_inbound", "supplier_id", "status"))
-    return base.groupBy(*GROUP, PARENT, LEAF).agg(R.exact_sum("spend").alias("off_contract_spend"))
+def off_contract_by_leaf(lake: Lake, base: DataFrame | None = None) -> DataFrame:
+    open_spend = without_contract(_base(lake, base), lake.pick("contract_inbound", "supplier_id", "status"))
+    return open_spend.groupBy(*GROUP, PARENT, LEAF).agg(R.exact_sum("spend").alias("off_contract_spend"))
 
 
 def tail_spend(lake: Lake, threshold: float = 0.05) -> DataFrame:
@@ -101,10 +104,12 @@ def tail_spend(lake: Lake, threshold: float = 0.05) -> DataFrame:
 def sourcing_strategy(lake: Lake, hint_tier: str = LEAF) -> DataFrame:
     """The mart: per leaf, segment and quarter with its parent's totals, index, maverick and off-contract."""
     keys = [*GROUP, PARENT, LEAF]
-    out = leaf_concentration(lake)
-    out = null_safe_join(out, maverick_spend(lake, hint_tier).drop("total_spend"), keys, "left")
-    out = null_safe_join(out, off_contract_by_leaf(lake), keys, "left")
-    out = null_safe_join(out, parent_rollup(lake), [*GROUP, PARENT], "left")
+    # Four sums over one aggregate: it is written once, so the lines are not read four times.
+    base = settled(classified(lake), "classified")
+    out = leaf_concentration(lake, base)
+    out = null_safe_join(out, maverick_spend(lake, hint_tier, base).drop("total_spend"), keys, "left")
+    out = null_safe_join(out, off_contract_by_leaf(lake, base), keys, "left")
+    out = null_safe_join(out, parent_rollup(lake, base), [*GROUP, PARENT], "left")
     zero = F.lit(0).cast("decimal(28,2)")
     return out.withColumn("off_contract_spend", F.coalesce("off_contract_spend", zero)) \
         .withColumn("leaf_share_of_parent", R.percent("leaf_spend", "parent_spend", 2))
