@@ -27,7 +27,10 @@ def along(df: DataFrame, key: list[str], order: list[str], slice_by: Column, *,
     within = Window.partitionBy(*key, _SLICE).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    local = df.withColumn(_SLICE, slice_by).select(
+    # Partitioned by key and slice on purpose: rows that arrive partitioned by the key alone would
+    # satisfy the window as well, and then a hot key would stay in one task.
+    sliced = df.withColumn(_SLICE, slice_by).repartition(*key, _SLICE)
+    local = sliced.select(
         "*",
         F.row_number().over(within).alias(_N),
         F.lead(F.lit(1)).over(within).isNull().alias(_LAST),

@@ -56,9 +56,9 @@ def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
     numbered through bounded slices, so a document of any length is spread over tasks.
     """
     order = ["line_number", "invoice_line_id"]
-    booked = settle_residual(lines, "invoice_id", order, "amount", documents, "invoice_amount", "_debit")
-    booked = along(booked, ["invoice_id"], order,
-                   F.floor(F.coalesce("line_number", F.lit(0)) / lines_per_slice), number="_no")
+    numbered = along(lines, ["invoice_id"], order,
+                     F.floor(F.coalesce("line_number", F.lit(0)) / lines_per_slice), number="_no")
+    booked = settle_residual(numbered, "invoice_id", order, "amount", documents, "invoice_amount", "_debit")
     zero = F.lit(0).cast("decimal(18,2)")
     debits = booked.select(
         je_id.alias("je_header_id"), F.col("_no").alias("je_line_num"),
