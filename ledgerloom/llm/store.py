@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import scratch
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Workspace:
     """Tables written below one fresh folder of the shared store."""
@@ -21,8 +23,13 @@ class Workspace:
 
     def keep(self, frame: DataFrame, name: str = "table") -> DataFrame:
         """Write a frame and return the written copy: lineage ends here and a lost executor costs a re-read."""
-        path = self.path(name)
-        frame.write.parquet(path)
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(_DROP_SHUFFLES, None)
+        conf.set(_DROP_SHUFFLES, "true")  # shuffle files go as soon as the table is written
+        try:
+            frame.write.parquet(path)
+        finally:
+            conf.unset(_DROP_SHUFFLES) if before is None else conf.set(_DROP_SHUFFLES, before)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def remove(self, folder: str | None = None) -> None:
