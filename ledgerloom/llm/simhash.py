@@ -162,7 +162,9 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         linked = roots.join(fps.withColumnRenamed("fp", "node"), "node")
         lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
         moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest", F.lit(True).alias("moved"))
-        per_fp = fps.join(moved, "fp", "left").select("fp", F.when(F.col("moved"), F.col("lowest")).otherwise(F.col("least")).alias("component_id"))
+        chosen = F.when(F.col("moved"), F.col("lowest")).otherwise(F.col("least"))
+        # Written first, so that the last join has a shuffle of its own and Spark can split a fingerprint of many copies.
+        per_fp = work.keep(fps.join(moved, "fp", "left").select("fp", chosen.alias("component_id")), "ids")
         return rows.join(per_fp, "fp").select(
             "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return worked_out(documents.sparkSession, "simhash", build)
