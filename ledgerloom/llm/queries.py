@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import passages, simhash
+from ledgerloom.llm import benchmark, language, passages, pieces, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(_table(spark, folder, "documents"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -21,8 +31,19 @@ def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeats(_table(spark, folder, "documents"))
 
 
+def op6_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pieces.encoded(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"), decode=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op3_simhash, op4_passages]
+    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op10_pieces]
     return {f.__name__: f for f in every}
 
 

@@ -41,9 +41,12 @@ def _power_table(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def spans(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in `data`, and how many words lie before each edge (text boundaries)."""
-    inside = ~_GAP[data]
+def spans(data: np.ndarray, edges: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word in `data`, and how many words lie before each edge (text boundaries).
+
+    `gap` says of each byte whether it is between words.
+    """
+    inside = ~gap[data]
     begins, ends = inside.copy(), np.zeros(len(data) + 1, bool)
     begins[1:] &= ~inside[:-1]
     at = edges[(edges > 0) & (edges < len(data))]
