@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import benchmark, language, passages, pieces, simhash
+from ledgerloom.llm import benchmark, chat, language, passages, pieces, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(_table(spark, folder, "conversations"))
+
+
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = pieces.encoded(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -43,11 +47,24 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op10_pieces]
+    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op9_chat, op10_pieces]
     return {f.__name__: f for f in every}
 
 
 SQL = {
+    "op9_chat": r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS place FROM conversations),
+whole AS (
+  SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY place) AS talk FROM turns GROUP BY conv_id),
+begun AS (SELECT DISTINCT talk[1:k] AS talk FROM (SELECT talk, unnest(range(1, n)) AS k FROM whole)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, n, count(*) AS copies FROM whole ANTI JOIN begun USING (talk) GROUP BY talk, n)
+SELECT conv_id, ((place - 1) // 256)::INTEGER AS part, any_value(n) AS n_turns, any_value(copies) AS copies,
+       string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10), ''
+                  ORDER BY place) AS rendered
+FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, (place - 1) // 256""",
     "op4_passages": r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
