@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import benchmark, chat, language, passages, pieces, simhash
+from ledgerloom.llm.store import Workspace
+from ledgerloom.llm import benchmark, chat, language, passages, pieces, shards, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op6_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    store = shards.write(documents, Workspace(spark, "ids").folder, _tokenizer("word_bpe_49k.json"))
+    return store.read(shards.keys_of(documents)).select(shards.document_id(), "start", "n_tokens", "ids_crc32")
+
+
 def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered(_table(spark, folder, "conversations"))
 
@@ -47,7 +54,7 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op9_chat, op10_pieces]
+    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op8_shards, op9_chat, op10_pieces]
     return {f.__name__: f for f in every}
 
 

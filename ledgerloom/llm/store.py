@@ -11,6 +11,18 @@ from ledgerloom.session import scratch
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def put(frame: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write a frame to a new folder and return the written copy. Its shuffle files go as soon as it is written."""
+    spark = frame.sparkSession
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path, **options)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 class Workspace:
     """Tables written below one fresh folder of the shared store."""
 
@@ -23,14 +35,7 @@ class Workspace:
 
     def keep(self, frame: DataFrame, name: str = "table") -> DataFrame:
         """Write a frame and return the written copy: lineage ends here and a lost executor costs a re-read."""
-        path, conf = self.path(name), self.spark.conf
-        before = conf.get(_DROP_SHUFFLES, None)
-        conf.set(_DROP_SHUFFLES, "true")  # shuffle files go as soon as the table is written
-        try:
-            frame.write.parquet(path)
-        finally:
-            conf.unset(_DROP_SHUFFLES) if before is None else conf.set(_DROP_SHUFFLES, before)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        return put(frame, self.path(name))
 
     def remove(self, folder: str | None = None) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(folder or self.folder)
