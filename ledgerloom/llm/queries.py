@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Workspace
-from ledgerloom.llm import benchmark, chat, language, passages, pieces, shards, simhash
+from ledgerloom.llm import benchmark, chat, language, passages, pieces, quality, shards, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op6_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return quality.judged(documents, quality.fit(documents, _table(spark, folder, "labels")))
+
+
 def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     store = shards.write(documents, Workspace(spark, "ids").folder, _tokenizer("word_bpe_49k.json"))
@@ -54,7 +59,7 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op8_shards, op9_chat, op10_pieces]
+    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces]
     return {f.__name__: f for f in every}
 
 
