@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Workspace
-from ledgerloom.llm import benchmark, chat, language, passages, pieces, quality, shards, simhash
+from ledgerloom.llm import benchmark, chat, language, passages, pieces, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return urls.filtered(pages, urls.document_labels(pages, _table(spark, folder, "labels")))
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(_table(spark, folder, "documents"))
 
@@ -59,7 +64,7 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op2_language, op3_simhash, op4_passages, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces]
+    every = [op1_urls, op2_language, op3_simhash, op4_passages, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces]
     return {f.__name__: f for f in every}
 
 
