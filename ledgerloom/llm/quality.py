@@ -42,8 +42,8 @@ _ENDING = _class(".!?:\"')")
 # Values of a line and where their bins begin.
 _BINS = [
     ("upper", [0.08, 0.2, 0.5]), ("digits", [0.02, 0.1, 0.3]), ("symbols", [0.005, 0.03, 0.08, 0.15]), ("bars", [0.005, 0.05]),
-    ("marks", [0.01, 0.05, 0.1]), ("points", [0.005, 0.03, 0.08]), ("words", [2, 4, 8, 16, 40]), ("letters", [3, 4.5, 6, 8]),
-    ("ending", [0.5]), ("seen", [0.5]), ("first", [0.5]), ("last", [0.5]),
+    ("marks", [0.01, 0.05, 0.1]), ("points", [0.005, 0.03, 0.08]), ("words", [3]), ("letters", [3, 4.5, 6, 8]),
+    ("ending", [0.5]), ("seen", [0.5]),
 ]
 N_FEATURES = sum(len(cuts) + 1 for _, cuts in _BINS)
 
@@ -103,9 +103,8 @@ def measured(data: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray]
     solid, upper, digits, symbols, bars, marks, points, chars = (t[end] - t[begin] for t in totals)
     per = np.maximum(solid, 1)
     last_word = stops[first_word + words - 1] - 1 if len(words) else np.zeros(0, np.int64)
-    edge = np.diff(text, prepend=-1) != 0
     values = [upper / per, digits / per, symbols / per, bars / per, marks / per, points / per, words, chars / np.maximum(words, 1) - 1,
-              _ENDING[data[last_word]], seen, edge, np.append(edge[1:], True)[:len(edge)]]
+              _ENDING[data[last_word]], seen]
     columns, base = [], 0
     for value, (_, cuts) in zip(values, _BINS, strict=True):
         columns.append(np.digitize(value, cuts) + base)
@@ -134,14 +133,17 @@ def _plus(x: np.ndarray, axis: int) -> np.ndarray:
     return np.logaddexp.reduce(x, axis=axis)
 
 
-def train(lines: Lines, good: np.ndarray, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Model:
-    """Fit to lines whose label is that of their text; the two labels count alike in sum."""
+def train(lines: Lines, good: np.ndarray, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3, care: float = 0.8) -> Model:
+    """Fit to lines whose label is that of their text.
+
+    `care` is the weight of all good texts together, the bad ones have the rest: above one half, doubt is content.
+    """
     model = Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
     if not len(lines.text) or good.all() or not good.any():
         return model
     grid, real = _padded(lines, len(good))
     grid, real, label = grid[real[:, 0]], real[real[:, 0]], good[real[:, 0]].astype(int)
-    share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    share = np.where(label == 1, care / max(1, (label == 1).sum()), (1 - care) / max(1, (label == 0).sum()))
     theta = np.zeros(N_FEATURES + 6)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     steps = grid.shape[1]
