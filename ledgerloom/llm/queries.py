@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Workspace
-from ledgerloom.llm import benchmark, chat, language, passages, pieces, quality, shards, simhash, urls
+from ledgerloom.llm import benchmark, chat, edits, language, passages, pieces, quality, shards, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeats(_table(spark, folder, "documents"))
 
 
+def op5_edits(spark: SparkSession, folder: str) -> DataFrame:
+    path = _tokenizer("byte_bpe_50k.tiktoken")
+    state = edits.counted(_table(spark, folder, "documents"), path).withColumn("edits", edits.cleaning_edits("text"))
+    after = edits.recounted(state, path)
+    return after.select("doc_id", "n_tokens", "n_edits", "n_reencoded", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -64,7 +71,7 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_urls, op2_language, op3_simhash, op4_passages, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces]
+    every = [op1_urls, op2_language, op3_simhash, op4_passages, op5_edits, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces]
     return {f.__name__: f for f in every}
 
 
