@@ -15,7 +15,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
@@ -38,7 +38,7 @@ def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_edits(spark: SparkSession, folder: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.tiktoken")
+    path = tokenizer("byte_bpe_50k.tiktoken")
     state = edits.counted(_table(spark, folder, "documents"), path).withColumn("edits", edits.cleaning_edits("text"))
     after = edits.recounted(state, path)
     return after.select("doc_id", "n_tokens", "n_edits", "n_reencoded", F.length("text").cast("long").alias("n_chars"))
@@ -55,7 +55,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_shards(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
-    store = shards.write(documents, Workspace(spark, "ids").folder, _tokenizer("word_bpe_49k.json"))
+    store = shards.write(documents, Workspace(spark, "ids").folder, tokenizer("word_bpe_49k.json"))
     return store.read(shards.keys_of(documents)).select(shards.document_id(), "start", "n_tokens", "ids_crc32")
 
 
@@ -64,7 +64,7 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pieces.encoded(_table(spark, folder, "documents"), _tokenizer("piece_bpe_32k.model"), decode=True)
+    rows = pieces.encoded(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"), decode=True)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
