@@ -150,15 +150,23 @@ class _Shard:
         return {(i, end - KEY + 1 - at) for end, places in self.keys.iter(self.spelled(h)) for i, at in places}
 
 
-def _agreements(doc: np.ndarray, section: np.ndarray, begin: int) -> Iterator[tuple[int, int]]:
-    """Stretches of 20 or more words in which the document agrees with the section laid on it at `begin`."""
-    low, high = max(begin, 0), min(begin + len(section), len(doc))
-    same = np.zeros(high - low + 2, bool)
-    same[1:-1] = doc[low:high] == section[low - begin:high - begin]
-    edges = np.flatnonzero(same[1:] != same[:-1]) + low
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        if b - a >= WINDOW:
-            yield a, b
+def _agreeing(doc: np.ndarray, sections: list[np.ndarray], begin: np.ndarray) -> np.ndarray:
+    """Words of the document in runs of 20 or more that agree with a section laid on it at its `begin`."""
+    lengths = np.array([len(s) for s in sections])
+    low, high = np.maximum(begin, 0), np.minimum(begin + lengths, len(doc))
+    size = high - low
+    at = W.gathered(np.arange(len(doc)), low, size)
+    if len(at) < WINDOW:
+        return at[:0]
+    flat, first = np.concatenate(sections), np.cumsum(lengths) - lengths
+    same = doc[at] == W.gathered(flat, first + low - begin, size)
+    laid = np.repeat(np.arange(len(size)), size)
+    sums = np.concatenate(([0], np.cumsum(same)))
+    whole = (sums[WINDOW:] - sums[:-WINDOW] == WINDOW) & (laid[WINDOW - 1:] == laid[:len(laid) - WINDOW + 1])
+    cover = np.zeros(len(at) + 1, np.int64)
+    cover[:len(whole)] += whole
+    cover[WINDOW:WINDOW + len(whole)] -= whole
+    return at[np.cumsum(cover[:-1]) > 0]
 
 
 def _remove(raw: bytes, starts: np.ndarray, stops: np.ndarray, gone: np.ndarray) -> bytes:
@@ -180,12 +188,14 @@ def _remove(raw: bytes, starts: np.ndarray, stops: np.ndarray, gone: np.ndarray)
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, h, text, sections (doc, h, start, words) -> doc, h, n_removed, sha, kept text."""
     for batch in (b.slice(first, last - first) for b in batches for first, last, *_ in W.pieces(b.column(2), BATCH_BYTES)):
-        rows, number, sections = [], {}, []
+        rows, number, sections, sent = [], {}, [], {}
         of_doc = batch.column(3)
         texts = list(_texts(batch, 2))
         for row, *_ in texts:
+            asked = sent[row] = set()
             for s in of_doc[row].as_py():
                 key = (s["doc"], s["h"], s["start"])
+                asked.add(key)
                 if key not in number:
                     number[key] = len(sections)
                     data = np.frombuffer(s["words"].encode(), np.uint8)
@@ -198,11 +208,14 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard = _Shard([sections[i] for i in chosen])
             for row, _, _, _, words in texts:
                 me = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                laid = []
                 for i, begin in shard.found(words):
-                    *source, start = keys[chosen[i]]
-                    if tuple(source) < me or tuple(source) == me and begin != start:
-                        for a, b in _agreements(words, shard.sections[i], begin):
-                            gone[row][a:b] = True
+                    *source, start = key = keys[chosen[i]]
+                    # Sections sent for another document of this task are none of this one's.
+                    if key in sent[row] and (tuple(source) < me or tuple(source) == me and begin != start):
+                        laid.append((i, begin))
+                if laid:
+                    gone[row][_agreeing(words, [shard.sections[i] for i, _ in laid], np.array([b for _, b in laid]))] = True
         for row, raw, starts, stops, _ in texts:
             lost = gone[row]
             left = [raw[a:b] for a, b in zip(starts[~lost].tolist(), stops[~lost].tolist(), strict=True)]
@@ -233,6 +246,7 @@ def _repeats(work: Workspace, documents: DataFrame, key: str, text: str) -> tupl
     often = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     mine = spread.join(often, "anchor").groupBy("doc", "h").agg(F.collect_list("anchor").alias("anchors"))
     shared = work.keep(plain.join(work.keep(mine, "shared"), ["doc", "h"]).dropDuplicates(["doc", "h"]), "texts")
+    work.drop("anchors", "shared")
     seen = work.keep(shared.select("doc", "h", "text", "anchors").mapInArrow(
         _windows, "a long, b int, doc long, h long, times long"), "windows")
     firsts = (seen.groupBy("a", "b").agg(F.min("doc").alias("doc"), F.sum("times").alias("n")).where("n > 1"))
@@ -244,7 +258,9 @@ def _repeats(work: Workspace, documents: DataFrame, key: str, text: str) -> tupl
     asked = seen.select("a", "doc", "h").join(source, "a").select("doc", "h", "section").distinct()
     sent = (asked.join(cut.select(F.struct("doc", "h", "start").alias("section"), "words"), "section")
             .groupBy("doc", "h").agg(F.collect_list(F.struct("section.doc", "section.h", "section.start", "words")).alias("sections")))
-    changed = work.keep(texts.join(work.keep(sent, "sent"), ["doc", "h"]).mapInArrow(
+    sent = work.keep(sent, "sent")
+    work.drop("windows", "sections")
+    changed = work.keep(texts.join(sent, ["doc", "h"]).mapInArrow(
         _locate, "doc long, h long, n_removed long, sha binary, kept string"), "changed")
     return entered.select("doc", "h", "n_words", "sha"), first, changed
 

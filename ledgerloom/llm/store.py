@@ -37,6 +37,12 @@ class Workspace:
         """Write a frame and return the written copy: lineage ends here and a lost executor costs a re-read."""
         return put(frame, self.path(name))
 
+    def drop(self, *names: str) -> None:
+        """Remove written tables that no later step reads."""
+        for i in range(1, self._n + 1):
+            for name in names:
+                self.remove(f"{self.folder}/{i}-{name}")
+
     def remove(self, folder: str | None = None) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(folder or self.folder)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
