@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import benchmark, language, passages, pieces, simhash
 from ledgerloom.llm.queries import tokenizer
-from ledgerloom.llm.store import Workspace
+from ledgerloom.llm.store import Workspace, unused
 
 
 def accepted_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -15,8 +15,9 @@ def accepted_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
     Rejected: null texts, texts without a letter, scores below the calibrated threshold.
     """
-    found = language.scored(docs, language.fit(docs), into="_language")
-    return found.where(F.col("_language.accepted")).select(*docs.columns)
+    into = unused(docs, "_language")
+    found = language.scored(docs, language.fit(docs), into=into)
+    return found.where(F.col(into).getField("accepted")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.store import Workspace, worked_out
+from ledgerloom.llm.store import Workspace, unused, worked_out
 
 SEED = 3
 PART = 400
@@ -220,5 +220,6 @@ def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 def clean(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that hold no item, unchanged."""
-    found = contaminated(documents, items, key, text, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return documents.join(found, F.col(key).cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    name = unused(documents, "_found")
+    found = contaminated(documents, items, key, text, **options).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(found, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import words as W
-from ledgerloom.llm.store import Workspace, worked_out
+from ledgerloom.llm.store import Workspace, unused, worked_out
 
 WINDOW = 20
 RUN = 5
@@ -304,8 +304,9 @@ def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text
             first.select("sha", F.col("doc").alias("first_doc"), F.col("h").alias("first_h")), "sha").where(
             "doc <> first_doc or h <> first_h").select("doc", "h", F.lit("").alias("kept")).distinct()
         return changed.where("n_removed > 0").select("doc", "h", "kept").unionByName(copies)
+    doc, h, kept = (unused(documents, name) for name in ("_doc", "_h", "_kept"))
     edits = worked_out(documents.sparkSession, "passages", build).select(
-        F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("kept").alias("_kept"))
+        F.col("doc").alias(doc), F.col("h").alias(h), F.col("kept").alias(kept))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    same = (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(whole) == F.col("_h"))
-    return documents.join(edits, same, "left").withColumn(text, F.coalesce("_kept", text)).drop("_doc", "_h", "_kept")
+    same = (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col(doc)) & (F.xxhash64(whole) == F.col(h))
+    return documents.join(edits, same, "left").withColumn(text, F.coalesce(kept, text)).drop(doc, h, kept)

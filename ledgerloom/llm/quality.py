@@ -227,7 +227,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 3000, letters: int
     share = F.when(F.col("_good") > 0, rows / 2 / sizes[True]).otherwise(rows / 2 / sizes[False])
     picked = marks.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003 < share)
     middle = F.substring(text, F.greatest((F.length(text) / 2).cast("int") - letters // 2, F.lit(1)), F.lit(letters))
-    found = sorted((r["t"], r["_good"] > 0) for r in documents.join(picked, key).where(F.col(text).isNotNull()).select(middle.alias("t"), "_good").collect())
+    texts = documents.select(key, text).where(F.col(text).isNotNull())
+    found = sorted((r["t"], r["_good"] > 0) for r in texts.join(picked, key).select(middle.alias("t"), "_good").collect())
     data = [t.encode() for t, _ in found]
     edges = np.cumsum([0, *map(len, data)])
     _, lines = measured(np.frombuffer(b"".join(data), np.uint8), edges)

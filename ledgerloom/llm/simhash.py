@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.links import components
-from ledgerloom.llm.store import Workspace, worked_out
+from ledgerloom.llm.store import Workspace, unused, worked_out
 
 SMALL = 256
 BITS = 3
@@ -176,6 +176,7 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Repeated rows of that id give one row.
     """
     found = near_duplicates(documents, key, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_kept"))
+    name = unused(documents, "_kept")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    same = F.col(key).cast("long").eqNullSafe(F.col(name))
     return documents.join(kept.distinct(), same, "left_semi").dropDuplicates([key])

@@ -48,6 +48,14 @@ class Workspace:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worked_out(spark: SparkSession, name: str, build: Callable[[Workspace], DataFrame]) -> DataFrame:
     """Run `build` with a workspace, write its result on its own and remove the workspace."""
     work, result = Workspace(spark, name), Workspace(spark, f"{name}-result")
