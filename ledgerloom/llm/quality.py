@@ -74,7 +74,7 @@ def measured(data: np.ndarray, edges: np.ndarray) -> tuple[dict[str, np.ndarray]
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate((edges[:-1], breaks + 1)))
     begin = begin[begin < len(data)]
-    end = np.append(begin[1:], len(data))
+    end = np.append(begin[1:], len(data))[:len(begin)]
     end -= (end > begin) & (data[end - 1] == 10)
     first_word = np.searchsorted(starts, begin)
     words = np.searchsorted(starts, end) - first_word
