@@ -187,17 +187,4 @@ SQL = {
     "stream_ingest_events": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2""",
     "secondary_categories": "SELECT p_partkey, unnest([p_type, p_brand]) AS code FROM part",
-    "macro_environment": """WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1),
-          k AS (SELECT m, n / 100.0::DOUBLE AS v FROM x WHERE month(m) % 3 = 1),
-          b AS (SELECT x.m, (SELECT max(k.m) FROM k WHERE k.m <= x.m) AS lo, (SELECT min(k.m) FROM k WHERE k.m >= x.m) AS hi FROM x),
-          g AS (SELECT b.m, CASE WHEN lo IS NULL THEN h.v WHEN hi IS NULL OR lo = hi THEN l.v
-            ELSE l.v + (h.v - l.v) * (b.m - lo) / (hi - lo) END AS g FROM b LEFT JOIN k l ON l.m = lo LEFT JOIN k h ON h.m = hi),
-          z AS (SELECT *, (g - avg(g) OVER ()) / greatest(stddev_pop(g) OVER (), 0.1) AS z,
-            least(greatest(0.045 + 0.025 * greatest(2.5 - g, 0) / 2.5, 0.03), 0.08) AS r FROM g)
-        SELECT m AS period_month, round(g, 6) AS gdp_growth_idx,
-          round(exp(sum(ln(pow(1 + r, 1.0 / 12))) OVER (ORDER BY m)), 6) AS inflation_idx, round(1 + 1.3 * 0.15 * z, 6) AS demand_idx_sales,
-          round(1 + 1.1 * 0.15 * z, 6) AS demand_idx_mfg, round(1 + 0.6 * 0.15 * z, 6) AS demand_idx_back_office,
-          round(1 + 0.4 * z + CASE WHEN year(m) = 2024 AND month(m) >= 10 THEN 0.3 ELSE 0 END, 6) AS supply_chain_stress_idx,
-          round(1 + 0.5 * coalesce(lag(z, 2) OVER (ORDER BY m), first_value(z) OVER (ORDER BY m)), 6) AS labor_market_tightness,
-          CAST([0.92,0.95,1.02,1.00,1.03,1.05,0.97,0.95,1.04,1.08,1.10,1.06][month(m)] AS DOUBLE) AS seasonality_idx FROM z""",
 }

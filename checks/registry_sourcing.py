@@ -247,7 +247,7 @@ add("hhi", on_lake(sourcing.leaf_concentration))
 add("supplier_shares", on_lake(sourcing.supplier_shares))
 add("concentration_over_time", on_lake(sourcing.concentration_over_time))
 add("maverick_spend", on_lake(sourcing.maverick_spend, hint_tier=sourcing.PARENT))
-add("maverick_suppliers", on_lake(sourcing.maverick_suppliers, hint_tier=sourcing.PARENT))
+add("maverick_suppliers", on_lake(sourcing.top_maverick_suppliers, hint_tier=sourcing.PARENT))
 add("off_contract_by_leaf", on_lake(sourcing.off_contract_by_leaf))
 add("tail_spend", on_lake(sourcing.tail_spend, threshold=0.19))
 add("sourcing_strategy", on_lake(sourcing.sourcing_strategy, hint_tier=sourcing.PARENT))

@@ -221,13 +221,34 @@ class Retail:
         joined = first.unionByName(second).unionByName(third)
         return joined.select("*", *R.fiscal("posted_date"))
 
+    def _entries(self, lake: Lake) -> DataFrame:
+        """Journal lines for totals: straight from the invoice lines, nothing numbered and nothing stored."""
+        shared = ["invoice_id", "invoice_date", "currency", "amount"]
+        lines = lake.pick("invoice_ap", *shared, "code_combination_id")
+        documents = posting.documents_of(lake.pick("invoice_ap", *shared, "invoice_number", "payment_date", "payables_account", "cash_account"))
+        number = lambda c, kind: F.col(c) * 10 + kind
+        return posting.unnumbered_entries(lines, documents, lake["invoice_ar"], (
+            number("invoice_id", 1), number("invoice_id", 2), number("document_id", 3)))
+
+    @staticmethod
+    def _numbered(want) -> bool:
+        return want is None or bool(want & {"je_line_num", "description", "entered_dr", "entered_cr"})
+
     def gl_journal_line(self, lake: Lake, want) -> DataFrame:
+        if not self._numbered(want):
+            return self._entries(lake)
         first, second, third = (lines for _, lines in self._journals(lake))
         return first.unionByName(second).unionByName(third).withColumn(
             "net_amount", (F.col("accounted_dr") - F.col("accounted_cr")).cast("decimal(18,2)"))
 
     def fact_gl_entries(self, lake: Lake, want) -> DataFrame:
-        """Each journal is joined with its own headers, before the union: same keys, smaller joins."""
+        """Each journal is joined with its own headers, before the union: same keys, smaller joins.
+
+        For totals the headers' facts are on the lines already, and no header is joined.
+        """
+        if not self._numbered(want):
+            entries = self._entries(lake).withColumn("period_name", R.month_name("posted_date")).select("*", *R.fiscal("posted_date"))
+            return gold.enrich(entries, want, lambda: lake["coa_account"], "code_combination_id", gold.LEDGER_PART)
         parts = [gold.fact_gl_entries(
             lake.extend({"gl_journal_header": header.select("*", *R.fiscal("posted_date")),
                          "gl_journal_line": lines.withColumn(

@@ -17,10 +17,9 @@ NUMBERS = ["log_amount", "log_quantity", "log_unit_price", "supplier_maverick_pr
 
 def _inputs(lake: Lake, *extra: str) -> DataFrame:
     lines = lake.pick("fact_invoices", KEY, TEXT, *CATEGORIES[:-1], "amount", "quantity", "unit_price",
-                      "supplier_maverick_propensity", *extra)
-    hints = lake.pick("dim_supplier", "supplier_id", category_primary_hint="category_primary")
+                      "supplier_maverick_propensity", "supplier_category_primary", *extra)
     propensity = F.coalesce(F.col("supplier_maverick_propensity").cast("double"), F.lit(0.0))
-    return lines.join(hints, "supplier_id", "left").select(
+    return lines.withColumnRenamed("supplier_category_primary", "category_primary_hint").select(
         KEY, TEXT, *CATEGORIES, *extra,
         R.log_amount("amount").alias("log_amount"), R.log_amount("quantity").alias("log_quantity"),
         R.log_amount("unit_price").alias("log_unit_price"), propensity.alias("supplier_maverick_propensity"))

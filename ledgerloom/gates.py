@@ -16,6 +16,7 @@ from ledgerloom.functions import rules as R
 from ledgerloom.lake import Lake
 from ledgerloom.operators.history import snapshot
 from ledgerloom.plans.accounting import journal_nets
+from ledgerloom.sources.files import CORRUPT
 
 QUARTER_SEGMENT = ["fiscal_year", "fiscal_quarter", "segment_code"]
 
@@ -55,6 +56,32 @@ def compare_totals(gate: str, actuals: DataFrame, targets: DataFrame, keys: list
     return _report(joined, gate, key_text(keys), actual, target, tolerance, warn_only)
 
 
+def count_gate(gate: str, counts: DataFrame, allowed: int = 0) -> DataFrame:
+    """Rows (key, n) that should not be there: a breach above the allowed number."""
+    n, level = F.col("n").cast("double"), F.when(F.col("n") > allowed, "breach").otherwise("ok")
+    return counts.select(F.lit(gate).alias("gate"), "key", n.alias("actual"), F.lit(float(allowed)).alias("target"),
+                         F.when(n > allowed, n - allowed).otherwise(0.0).alias("drift"), level.alias("level"))
+
+
+def unreadable_gate(name: str, stored: DataFrame, allowed: int = 0) -> DataFrame:
+    """Stored rows of a source that did not fit their schema, and so are in no table downstream."""
+    bad = F.count(F.col(CORRUPT)) if CORRUPT in stored.columns else F.lit(0).cast("long")
+    return count_gate("unreadable rows", stored.agg(F.lit(name).alias("key"), bad.alias("n")), allowed)
+
+
+def cast_loss_gate(name: str, rows: DataFrame, casts: dict[str, str], allowed: int = 0) -> DataFrame:
+    """Values that are there and that a cast turns into NULL, by column."""
+    lost = [F.struct(F.lit(f"{name}.{c}").alias("key"), F.count(F.when(F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull(), 1)).alias("n"))
+            for c, kind in casts.items()]
+    return count_gate("cast loss", rows.agg(F.array(*lost).alias("a")).select(F.explode("a").alias("a")).select("a.key", "a.n"), allowed)
+
+
+def absent_gate(name: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that have no value in any row of a table that has rows: the files lack the field, or name it otherwise."""
+    empty = [F.struct(F.lit(f"{name}.{c}").alias("key"), ((F.count("*") > 0) & (F.count(c) == 0)).cast("long").alias("n")) for c in columns]
+    return count_gate("absent field", rows.agg(F.array(*empty).alias("a")).select(F.explode("a").alias("a")).select("a.key", "a.n"))
+
+
 def anchor_targets(anchors: DataFrame, *measures: str) -> DataFrame:
     """Quarterly segment targets in currency units from anchors in millions."""
     value = reduce(lambda a, b: a + b, [F.col(m).cast("decimal(18,6)") for m in measures]) * 1000000

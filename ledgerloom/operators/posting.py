@@ -76,6 +76,39 @@ def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
     return header, debits.unionByName(credits)
 
 
+def _amounts(posted, currency, source: str, category: str, account, debit, credit) -> list[Column]:
+    zero = F.lit(0).cast("decimal(18,2)")
+    debit, credit = (zero if v is None else F.col(v).cast("decimal(18,2)") for v in (debit, credit))
+    return [F.col(posted).alias("posted_date"), F.col(currency).alias("currency_code"), F.lit(source).alias("je_source"),
+            F.lit(category).alias("je_category"), F.col(account).cast("bigint").alias("code_combination_id"),
+            debit.alias("accounted_dr"), credit.alias("accounted_cr"), (debit - credit).cast("decimal(18,2)").alias("net_amount")]
+
+
+def unnumbered_entries(lines: DataFrame, documents: DataFrame, receivables: DataFrame, kinds: tuple[Column, Column, Column]) -> DataFrame:
+    """All journal lines with what their headers say, for totals: without line numbers and descriptions.
+
+    Lines carry the date and currency of their document, and a document's total is the sum of its lines, so no line
+    takes a rounding difference and nothing has to be ordered. `kinds` are the journal ids of creation, payment and
+    receivable. A document gives its one credit and, once paid, two payment lines in one expansion.
+    """
+    create, pay, bill = kinds
+    debits = lines.select(create.alias("je_header_id"), *_amounts(
+        "invoice_date", "currency", "Payables", "Purchase Invoices", "code_combination_id", "amount", None))
+    payables, payments = ("Payables", "Purchase Invoices"), ("Payables", "Payments")
+    entry = lambda je_id, *parts: F.struct(je_id.alias("je_header_id"), *_amounts(*parts))
+    posted = F.array(
+        entry(create, "invoice_date", "currency", *payables, "payables_account", None, "invoice_amount"),
+        entry(pay, "payment_date", "currency", *payments, "payables_account", "invoice_amount", None),
+        entry(pay, "payment_date", "currency", *payments, "cash_account", None, "invoice_amount"))
+    unpaid = F.slice(posted, 1, 1)
+    booked = documents.select(F.explode(F.when(F.col("payment_date").isNull(), unpaid).otherwise(posted)).alias("_e")).select("_e.*")
+    sales = ("Receivables", "Sales Invoices")
+    billed = receivables.select(F.explode(F.array(
+        entry(bill, "invoice_date", "currency", *sales, "receivables_account", "total_amount", None),
+        entry(bill, "invoice_date", "currency", *sales, "revenue_account", None, "total_amount"))).alias("_e")).select("_e.*")
+    return debits.unionByName(booked).unionByName(billed)
+
+
 def post_payments(documents: DataFrame, je_id: Column) -> tuple[DataFrame, DataFrame]:
     """Payment of paid invoices: debit the payable, credit cash."""
     paid = documents.where(F.col("payment_date").isNotNull())

@@ -19,23 +19,26 @@ LEGAL_FORMS = ["inc", "incorporated", "corp", "corporation", "co", "company", "l
 
 
 def normal_name(name) -> Column:
-    """Lower case, accents of Latin letters dropped, punctuation and legal forms removed."""
+    """Lower case, accents of Latin letters dropped, punctuation and legal forms removed; letters of any script stay."""
     plain = F.translate(F.lower(name), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
-    words = F.split(F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " ")), " ")
     kept = F.filter(words, lambda w: ~w.isin(LEGAL_FORMS) & (w != ""))
     return F.array_join(kept, " ")
 
 
-def deletion_keys(text, digits_key) -> Column:
-    """The string itself and each form with one character deleted, within the same block."""
+def deletion_keys(text, digits_key, shortest: int = 4) -> Column:
+    """The string itself and each form with one character deleted, within the same block.
+
+    Strings of fewer than `shortest` characters keep their spelling: one edit of a short name is another name.
+    """
     positions = F.sequence(F.lit(1), F.length(text))
     deleted = F.transform(positions, lambda i: F.concat(
         F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-    forms = F.when(F.length(text) >= 4, F.array_union(F.array(text), deleted)).otherwise(F.array(text))
+    forms = F.when(F.length(text) >= shortest, F.array_union(F.array(text), deleted)).otherwise(F.array(text))
     return F.transform(forms, lambda f: F.concat_ws("|", digits_key, f))
 
 
-def connected(links: DataFrame, node: str, hub: str, rounds: int = 40) -> DataFrame:
+def connected(links: DataFrame, node: str, hub: str) -> DataFrame:
     """Components of a node-to-hub graph: each node gets the smallest node it is connected to.
 
     Labels travel node -> hub -> node, and each round also jumps to the label's own label, so that
@@ -46,7 +49,7 @@ def connected(links: DataFrame, node: str, hub: str, rounds: int = 40) -> DataFr
     # A string only one name leads to connects nothing, and most are like that.
     shared = edges.groupBy(hub).agg(F.count("*").alias("_n")).where("_n > 1").select(hub)
     links = cut(edges.join(shared, hub, "left_semi"))
-    for _ in range(rounds):
+    while True:  # every round but the last lowers a label, so it ends
         at_hub = links.join(labels, node).groupBy(hub).agg(F.min("label").alias("_low"))
         near = links.join(at_hub, hub).groupBy(node).agg(F.min("_low").alias("_low"))
         # Everything carrying the old label can take the best label any of its carriers found.
@@ -57,25 +60,26 @@ def connected(links: DataFrame, node: str, hub: str, rounds: int = 40) -> DataFr
         labels = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def resolve_suppliers(suppliers: DataFrame, key: str = "supplier_id", name: str = "supplier_name",
-                      block: list[str] = ()) -> DataFrame:
+                      block: list[str] = (), shortest: int = 4) -> DataFrame:
     """Suppliers with canonical_supplier_id and entity_resolution_cluster_id.
 
     Numbers inside a name identify it, so names with different digits never link; neither do
-    suppliers that differ in a `block` column. A supplier without a name stands alone.
+    suppliers that differ in a `block` column. Names of fewer than `shortest` letters link only if they are
+    the same. A name without letters or digits is compared as it is written. A supplier without a name stands alone.
     """
-    text = normal_name(F.col(name))
+    plain = normal_name(F.col(name))
+    text = F.when(plain == "", F.trim(F.lower(F.col(name)))).otherwise(plain)
     block_key = F.concat_ws("|", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in block],
-                            F.regexp_replace(text, "[^0-9]", ""))
+                            F.regexp_replace(text, r"[^\p{N}]", ""))
     tagged = suppliers.withColumn("_block", block_key).withColumn(
-        "_text", F.trim(F.regexp_replace(text, "[0-9]", "")))
+        "_text", F.trim(F.regexp_replace(text, r"\p{N}", "")))
     named = tagged.where(F.col(name).isNotNull() & (F.length("_text") > 0))
     # Identical spellings collapse first: the graph has one node per distinct name.
     spellings = named.groupBy("_block", "_text").agg(F.min(key).alias("_node"))
-    links = spellings.select("_node", F.explode(deletion_keys(F.col("_text"), F.col("_block"))).alias("_hub"))
+    links = spellings.select("_node", F.explode(deletion_keys(F.col("_text"), F.col("_block"), shortest)).alias("_hub"))
     labels = connected(links, "_node", "_hub")
     groups = spellings.join(labels, "_node").select("_block", "_text", F.col("label").alias("_canonical"))
     out = tagged.join(groups, ["_block", "_text"], "left")

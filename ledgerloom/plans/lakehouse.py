@@ -53,6 +53,22 @@ def bronze_tables(spark: SparkSession, root: str, unreadable: bool = False) -> d
             for name, source in SOURCES.items()}
 
 
+def bronze_gates(spark: SparkSession, root: str, allowed: int = 0, fields: bool = True) -> list[DataFrame]:
+    """Unreadable rows, amounts that do not fit the money type, and with `fields` those that no JSON or Parquet file has."""
+    bronze, store = Bronze(spark, f"{root}/bronze"), Store(spark, f"{root}/bronze")
+    out = []
+    for name, source in SOURCES.items():
+        rows = bronze.read(name, True) if source.incremental else store.read(name)
+        types = dict(rows.dtypes)
+        out.append(gates.unreadable_gate(name, rows, allowed))
+        amounts = {c: "decimal(18,2)" for c, kind in types.items() if kind.startswith(("decimal", "double")) and not c.startswith("_")}
+        if amounts:
+            out.append(gates.cast_loss_gate(name, rows, amounts, allowed))
+        if fields and source.kind != "csv":
+            out.append(gates.absent_gate(name, rows, [c for c in types if not c.startswith("_")]))
+    return out
+
+
 def derive(spark: SparkSession, root: str, anchors: DataFrame, macro: DataFrame | None = None) -> Lake:
     """Silver and gold from bronze, each table written and then read back by the next ones."""
     silver_store, gold_store, ml_store = (Store(spark, f"{root}/{part}") for part in ("silver", "gold", "ml"))
@@ -76,9 +92,14 @@ def derive(spark: SparkSession, root: str, anchors: DataFrame, macro: DataFrame
 
 def build(spark: SparkSession, landing: str, root: str, anchors: DataFrame, full_refresh: bool = False,
           aliases: dict[str, dict[str, str]] | None = None, macro: DataFrame | None = None,
-          check: bool = True) -> Lake:
-    """Ingest, derive and check. Raises if a hard gate is in breach."""
+          check: bool = True, unreadable: int = 0) -> Lake:
+    """Ingest, derive and check. Raises if a hard gate is in breach.
+
+    Up to `unreadable` rows of each source may be set aside; whatever `check` says, more than that, or amounts that do
+    not fit, stop the build before anything is derived from what is left. `check` also asks for all fields.
+    """
     ingest(spark, landing, root, full_refresh, aliases)
+    gates.enforce(*bronze_gates(spark, root, unreadable, fields=check))
     lake = derive(spark, root, anchors, macro)
     if check:
         gates.enforce(*gates.lakehouse_gates(lake))

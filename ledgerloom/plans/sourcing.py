@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fixed
@@ -79,12 +79,16 @@ def maverick_spend(lake: Lake, hint_tier: str = LEAF, base: DataFrame | None = N
         R.exact_sum(off).alias("maverick_spend"), R.exact_sum("spend").alias("total_spend"))
 
 
-def maverick_suppliers(lake: Lake, n: int = 50, hint_tier: str = LEAF) -> DataFrame:
-    """Suppliers by maverick spend."""
+def maverick_suppliers(lake: Lake, hint_tier: str = LEAF) -> DataFrame:
+    """The mart of maverick spend by supplier, with all suppliers; a report orders and cuts it."""
     off = F.when(F.col("_hint") != F.col(hint_tier), F.col("spend")).otherwise(0)
-    ranked = _with_hint(classified(lake), lake).groupBy("supplier_id").agg(
+    return _with_hint(classified(lake), lake).groupBy("supplier_id").agg(
         R.exact_sum(off).alias("maverick_spend"), R.exact_sum("spend").alias("total_spend"))
-    return top_k(ranked, [F.desc("maverick_spend"), F.col("supplier_id")], n)
+
+
+def top_maverick_suppliers(lake: Lake, n: int = 50, hint_tier: str = LEAF) -> DataFrame:
+    """Report: the n suppliers with the largest maverick spend."""
+    return top_k(maverick_suppliers(lake, hint_tier), [F.desc("maverick_spend"), F.col("supplier_id")], n)
 
 
 def off_contract_by_leaf(lake: Lake, base: DataFrame | None = None) -> DataFrame:
@@ -216,23 +220,15 @@ def terms_targets(lake: Lake, target_days: int = 60, n: int = 50) -> DataFrame:
 def suggest_suppliers(lake: Lake, n: int = 3) -> DataFrame:
     """Per segment and leaf, the n addressable suppliers with the largest spend.
 
-    The best one is found n times by an aggregate that combines map-side, each time without those
-    already taken; no task ever ranks all suppliers of a leaf.
+    The rank is taken over the supplier sums, and Spark keeps n rows of a leaf in each task before the shuffle, so
+    no task ranks all suppliers of a leaf.
     """
     by = ["segment_code", "true_category_secondary"]
-    left = lake.pick("fact_invoices", *by, "supplier_id", "amount", "addressability") \
+    sums = lake.pick("fact_invoices", *by, "supplier_id", "amount", "addressability") \
         .where(F.col("addressability") == "Addressable").groupBy(*by, "supplier_id") \
         .agg(F.sum("amount").cast("decimal(28,2)").alias("spend"))
-    best = left.groupBy(*by).agg(F.min(F.struct((-F.col("spend")).alias("s"), "supplier_id")).alias("_1"))
-    for i in range(2, n + 1):
-        taken = F.col(f"_{i - 1}")
-        later = null_safe_join(left, best, by).where(F.struct((-F.col("spend")).alias("s"), "supplier_id") > taken)
-        following = later.groupBy(*by).agg(F.min(F.struct((-F.col("spend")).alias("s"), "supplier_id")).alias(f"_{i}"))
-        best = null_safe_join(best, following, by, "left")
-    places = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"_{i}").alias("b")) for i in range(1, n + 1)])
-    return best.select(*by, F.explode(places).alias("_p")).where(F.col("_p.b").isNotNull()).select(
-        *by, F.col("_p.position").alias("position"), F.col("_p.b.supplier_id").alias("supplier_id"),
-        (-F.col("_p.b.s")).cast("decimal(28,2)").alias("spend"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("spend"), "supplier_id"))
+    return sums.withColumn("position", place).where(F.col("position") <= n).select(*by, "position", "supplier_id", "spend")
 
 
 def price_history(lake: Lake) -> DataFrame:

@@ -15,7 +15,7 @@ def schema_of(source: Source, aliases: dict[str, str] | None = None) -> StructTy
     """File schema. Text formats get a column that keeps a row that does not fit the types.
 
     `aliases` maps a column of ours to its name in the files, for formats that carry names per row.
-    CSV columns are matched by position, so only JSON and Parquet need it.
+    Headers of CSV files are compared with the schema, so a reordered or renamed column is an error.
     """
     fields = _parse_datatype_string(source.columns).fields
     if aliases:
@@ -27,7 +27,7 @@ def schema_of(source: Source, aliases: dict[str, str] | None = None) -> StructTy
 
 def options_of(source: Source) -> dict[str, str]:
     if source.kind == "csv":
-        return {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        return {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "enforceSchema": "false"}
     return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} if source.kind == "json" else {}
 
 

@@ -11,15 +11,22 @@ from ledgerloom.sources.schemas import SOURCES
 
 def run_available(stream: DataFrame, data: str, checkpoint: str) -> int:
     """Append whatever is new to a parquet folder and stop; returns the number of rows read."""
-    # Keep the progress of every batch of the run, the row count is summed from it.
-    stream.sparkSession.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    before = _stored_rows(stream.sparkSession, data)
     query = stream.writeStream.format("parquet").outputMode("append") \
         .option("path", data).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return sum(p.numInputRows for p in query.recentProgress)
+    return _stored_rows(stream.sparkSession, data) - before
+
+
+def _stored_rows(spark: SparkSession, data: str) -> int:
+    """Rows of a table that the sink has committed, counted from file footers; 0 before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{data}/_spark_metadata")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return 0
+    return spark.read.parquet(data).count()
 
 
 class Bronze:

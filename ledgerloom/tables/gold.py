@@ -104,7 +104,8 @@ INVOICE_BASE = [
     "amount", "currency", "code_combination_id", "true_category_primary", "true_category_secondary"]
 SUPPLIER_PART = {
     "supplier_name": "supplier_name", "supplier_region": "region", "supplier_country": "country_code",
-    "supplier_maverick_propensity": "maverick_propensity", "is_regulated_supplier": "is_regulated_supplier"}
+    "supplier_maverick_propensity": "maverick_propensity", "is_regulated_supplier": "is_regulated_supplier",
+    "supplier_category_primary": "category_primary"}
 ACCOUNT_PART = {"gl_account": "natural_account_code", "gl_account_type": "natural_account_type"}
 PREDICTION_PART = {c: c for c in (
     "predicted_primary_category", "predicted_secondary_category", "primary_confidence",
