@@ -34,7 +34,7 @@ RUN = 5
 KEY = 10
 SECTION = 64
 SHARD_WORDS = 400_000
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 _LAST = (1 << 63) - 1
 
 

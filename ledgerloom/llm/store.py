@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import scratch
 
-_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: its shuffle files go as soon as it is done, and tasks get texts in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def put(frame: DataFrame, path: str, **options: str) -> DataFrame:
-    """Write a frame to a new folder and return the written copy. Its shuffle files go as soon as it is written."""
+    """Write a frame to a new folder and return the written copy."""
     spark = frame.sparkSession
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         frame.write.parquet(path, **options)
     finally:
-        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(frame.schema).parquet(path)
 
 
