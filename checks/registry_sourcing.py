@@ -52,9 +52,10 @@ def _funnel(retail: Retail) -> DataFrame:
 
 @query("unbalanced_journals")
 def _unbalanced(retail: Retail) -> DataFrame:
-    """The journal gate over the debit side alone finds every journal that has a credit."""
-    lines = retail.lake().pick("gl_journal_line", "je_header_id", "accounted_dr", "accounted_cr", "je_line_num")
-    return gates.journal_gate(lines.where("je_line_num = 1"))
+    """The journal gate over all lines, of which the credits of some journals are a unit too high."""
+    lines = retail.lake().pick("gl_journal_line", "je_header_id", "accounted_dr", "accounted_cr")
+    wrong = F.when((F.col("je_header_id") % 7 == 0) & (F.col("accounted_cr") > 0), 1).otherwise(0)
+    return gates.journal_gate(lines.withColumn("accounted_cr", (F.col("accounted_cr") + wrong).cast("decimal(18,2)")))
 
 
 @query("ap_control_account")
@@ -84,9 +85,9 @@ def _hierarchy(retail: Retail) -> DataFrame:
 @query("labels_known")
 def _labels(retail: Retail) -> DataFrame:
     lake = retail.lake()
+    old = F.when(~F.col("label").endswith("1"), F.concat("label", F.lit("-old"))).otherwise(F.col("label"))
     train = lake.pick("fact_invoices", label="predicted_secondary_category").where(F.col("label").isNotNull())
-    taxonomy = lake["dim_spend_category"].where(F.col("secondary_code").endswith("1"))
-    return gates.label_gate(train, taxonomy).select("key", "actual", "level")
+    return gates.label_gate(train.withColumn("label", old), lake["dim_spend_category"]).select("key", "actual", "level")
 
 
 @query("split_sanity")
@@ -118,7 +119,7 @@ def _planning(retail: Retail) -> DataFrame:
     anchors = actuals.groupBy(*GROUP).agg(target("REVENUE").alias("revenue"), target("COGS").alias("cogs"),
                                           target("SGA").alias("sga"), target("RD").alias("rd")) \
         .withColumn("period_type", F.lit("Q"))
-    return gates.actuals_gate(actuals, anchors, 0.01).where(F.col("target").isNotNull())
+    return gates.actuals_gate(actuals, anchors, 0.01)
 
 
 @query("prediction_coverage")
@@ -273,15 +274,16 @@ def _managed(retail: Retail) -> DataFrame:
 
 @query("savings_against_budget")
 def _savings(retail: Retail) -> DataFrame:
-    """Orders as sourcing events: the baseline is a fixed mark-up on part of them."""
+    """Orders as sourcing events: baseline and avoidance are mark-ups that depend on the order."""
     lake = retail.lake()
     bills = lake.pick("fact_revenue", *GROUP, "schedule_id", "amount")
     key = F.col("schedule_id").cast("bigint")
-    reductions = bills.where(key % 3 == 0).select(
+    by_order = lambda *rates: F.element_at(F.array(*[F.lit(r).cast("decimal(3,2)") for r in rates]), (key % 3 + 1).cast("int"))
+    reductions = bills.select(
         F.col("schedule_id").alias("event_id"), *GROUP, F.col("amount").alias("awarded_amount"),
-        (F.col("amount") * F.lit("1.10").cast("decimal(3,2)")).cast("decimal(18,2)").alias("baseline_amount"))
-    avoidances = bills.where(key % 3 == 1).select(
-        F.col("schedule_id").alias("event_id"), *GROUP, (F.col("amount") * F.lit("0.05").cast("decimal(3,2)")).cast("decimal(18,2)").alias("amount_usd"))
+        (F.col("amount") * by_order("1.10", "1.00", "1.02")).cast("decimal(18,2)").alias("baseline_amount"))
+    avoidances = bills.select(
+        F.col("schedule_id").alias("event_id"), *GROUP, (F.col("amount") * by_order("0.01", "0.05", "0.02")).cast("decimal(18,2)").alias("amount_usd"))
     return sourcing.savings_against_budget(sourcing.savings_ledger(reductions, avoidances), lake["fact_fpa_budgets"])
 
 

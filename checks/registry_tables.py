@@ -242,10 +242,11 @@ def _scaled(retail: Retail) -> DataFrame:
 
 @query("upsert_predictions")
 def _upsert(retail: Retail) -> DataFrame:
-    """A second model run over part of the lines updates its rows and adds new ones."""
+    """A second model run over all lines: later lines of a document are updated, the first two come under new ids."""
     lines = retail.lake().pick("invoice_ap", "invoice_line_id", "line_number", "true_category_secondary")
-    target = lines.where("line_number <= 4").select("invoice_line_id", "true_category_secondary", F.lit("1").alias("model_version"))
-    source = lines.where("line_number >= 3").select("invoice_line_id", "true_category_secondary", F.lit("2").alias("model_version"))
+    new_id = F.when(F.col("line_number") <= 2, F.concat(F.lit("new-"), "invoice_line_id")).otherwise(F.col("invoice_line_id"))
+    target = lines.select("invoice_line_id", "true_category_secondary", F.lit("1").alias("model_version"))
+    source = lines.select(new_id.alias("invoice_line_id"), "true_category_secondary", F.lit("2").alias("model_version"))
     return merged(target, source, ["invoice_line_id"])
 
 
