@@ -31,7 +31,8 @@ from ledgerloom.llm.store import put
 
 SHARD_IDS = 500_000
 BUCKET_KEYS = 8_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+_TAIL = b".,!?;:#*$%&|"
 _NULL = -(1 << 63)
 _SLOT = [("print", "<u4"), ("part", "<i4"), ("number", "<i4"), ("offset", "<i8"), ("size", "<i8")]
 _MARK = "<|startoftext|>"
@@ -40,7 +41,10 @@ _MARK = "<|startoftext|>"
 class Encoder:
     """Ids of whole texts from the tokenizers library, each different word encoded once.
 
-    White space separates pre-tokens and gives no id of its own, so a text's ids are those of its words in turn.
+    White space separates pre-tokens and gives no id of its own, so a text's ids are those of its words in turn. The
+    vocabulary lower-cases, so words are looked up with A-Z lowered; and punctuation that ends a word after a letter
+    or digit is a pre-token of its own, so it is looked up apart. Words with the opening of a special token are
+    encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -51,30 +55,46 @@ class Encoder:
         if self.mark is None or self._ids(probe) != [i for w in probe.split() for i in self._ids(w)]:
             raise ValueError("needs a vocabulary that drops white space")
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        if self._ids("AbC 1,;") != self._ids("abc") + self._ids("1") + self._ids(",;"):
+            raise ValueError("needs a vocabulary that lower-cases and splits at punctuation")
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if b"<|" in w]
-        plain = [w.decode("utf-8", "replace") for w in words if b"<|" not in w]
-        names = [w for w in words if b"<|" not in w]
+        """Put the ids of words into the cache, by way of those of their parts."""
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        known, split, new = self.parts, {}, set()
+        for w in words:
+            if b"<|" in w:
+                self.cache[w] = np.array(self._ids(w.decode("utf-8", "replace")), self.width).tobytes()
+                continue
+            core = w.rstrip(_TAIL)
+            end = core[-4:].decode("utf-8", "ignore")[-1:]
+            split[w] = (core, w[len(core):]) if len(core) < len(w) and end.isalnum() else (w,)
+            new.update(p for p in split[w] if p not in known)
+        self._encode_parts(list(new))
+        for w, found in split.items():
+            self.cache[w] = b"".join(map(known.__getitem__, found))
+
+    def _encode_parts(self, names: list[bytes]) -> None:
+        plain = [w.decode("utf-8", "replace") for w in names]
         groups = [plain[i:i + 200] for i in range(0, len(plain), 200)]
         found = self.library.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False)
         at = 0
         for group, one in zip(groups, found, strict=True):
             ids = np.array(one.ids, np.int64)
             for part in np.split(ids, np.flatnonzero(ids == self.mark)):
-                self.cache[names[at]] = part[part != self.mark].astype(self.width).tobytes()
+                self.parts[names[at]] = part[part != self.mark].astype(self.width).tobytes()
                 at += 1
-        for w in odd:
-            self.cache[w] = np.array(self._ids(w.decode("utf-8", "replace")), self.width).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [t.split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = list({w for words in split for w in words if w not in self.cache})
         if new:
             self._learn(new)
