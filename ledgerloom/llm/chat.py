@@ -49,9 +49,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     whole = turns.join(length, _KEY).where("place = n_turns").select(*_KEY, "n_turns", "h1", "h2")
     continued = turns.join(length, _KEY).where("place < n_turns").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
     ends = ["n_turns", "h1", "h2"]
-    last = whole.join(continued, ends, "left_anti")
-    first = last.groupBy(*ends).agg(F.min(F.struct("nameless", "conv")).alias("c"), F.count(F.lit(1)).alias("copies"))
-    return first.select("c.conv", "c.nameless", "n_turns", "copies")
+    # Equal conversations are counted in every task first, so that many copies of one are one row in the join.
+    first = whole.groupBy(*ends).agg(F.min(F.struct("nameless", "conv")).alias("c"), F.count(F.lit(1)).alias("copies"))
+    return first.join(continued, ends, "left_anti").select("c.conv", "c.nameless", "n_turns", "copies")
 
 
 def segment(role: str = "role", text: str = "text") -> Column:
