@@ -15,6 +15,7 @@ A key is a document id and a copy number (0 where ids do not repeat).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,7 @@ SHARD_IDS = 500_000
 BUCKET_KEYS = 8_000
 CACHE_WORDS = 500_000
 _TAIL = b".,!?;:#*$%&|"
+_LETTERS = re.compile(rb"[a-z]+").fullmatch
 _NULL = -(1 << 63)
 _SLOT = [("print", "<u4"), ("part", "<i4"), ("number", "<i4"), ("offset", "<i8"), ("size", "<i8")]
 _MARK = "<|startoftext|>"
@@ -57,30 +59,43 @@ class Encoder:
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         if self._ids("AbC 1,;") != self._ids("abc") + self._ids("1") + self._ids(",;"):
             raise ValueError("needs a vocabulary that lower-cases and splits at punctuation")
+        wide = np.dtype(self.width).itemsize
+        self.codes = [i.to_bytes(wide, "little") for i in range(self.library.get_vocab_size())]
         self.cache: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _raw(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.codes.__getitem__, ids))
+
     def _learn(self, words: list[bytes]) -> None:
         """Put the ids of words into the cache, by way of those of their parts."""
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        known, split, new = self.parts, {}, set()
+        known, pairs = self.parts, []
+        known[b""] = b""
         for w in words:
             if b"<|" in w:
-                self.cache[w] = np.array(self._ids(w.decode("utf-8", "replace")), self.width).tobytes()
+                self.cache[w] = self._raw(self._ids(w.decode("utf-8", "replace")))
                 continue
             core = w.rstrip(_TAIL)
-            end = core[-4:].decode("utf-8", "ignore")[-1:]
-            split[w] = (core, w[len(core):]) if len(core) < len(w) and end.isalnum() else (w,)
-            new.update(p for p in split[w] if p not in known)
-        self._encode_parts(list(new))
-        for w, found in split.items():
-            self.cache[w] = b"".join(map(known.__getitem__, found))
+            if core is not w and len(core) < len(w) and (core[-1:].isalnum() or core[-4:].decode("utf-8", "ignore")[-1:].isalnum()):
+                pairs.append((w, core, w[len(core):]))
+            else:
+                pairs.append((w, w, b""))
+        new = {core for _, core, _ in pairs}
+        new.update(tail for _, _, tail in pairs)
+        self._encode_parts([p for p in new if p not in known])
+        self.cache.update((w, known[core] + known[tail] if tail else known[core]) for w, core, tail in pairs)
 
     def _encode_parts(self, names: list[bytes]) -> None:
+        """Ids of parts. Runs of a to z are one pre-token as they stand and go to the library's model alone."""
+        one, names = [w for w in names if _LETTERS(w)], [w for w in names if not _LETTERS(w)]
+        tokenize = self.library.model.tokenize
+        for w in one:
+            self.parts[w] = self._raw([t.id for t in tokenize(w.decode())])
         plain = [w.decode("utf-8", "replace") for w in names]
         groups = [plain[i:i + 200] for i in range(0, len(plain), 200)]
         found = self.library.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False)
