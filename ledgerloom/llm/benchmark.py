@@ -1,10 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: three-word seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, lower-cased. Every run of three words of a test item is a seed. A first pass
-over all documents counts in how many each seed occurs; the seeds of an item that are at most as frequent as its
-median seed are its rare ones. A second pass takes each place of a document where a rare seed occurs, lays the item
-on it, and aligns the item with the stretch around it, word by word (match 2, other word or gap -1). The score is the
-best alignment's over that of the item with itself, so edited and partly quoted copies score by what is left.
+Words are runs of letters and digits, lower-cased. Every run of three words of a test item is a seed, and every seed
+counts, however frequent it is: an edited copy may have kept only those that other texts have too. Where a seed occurs
+in a document, the item is laid on it with room for all the words that a copy may have gained; no alignment through the
+seed with a wanted score reaches further. Stretches of an item that overlap are one. A stretch is aligned with its item
+word by word (match 2, other word or gap -1) unless its words rule out the wanted score in any order: a word of the
+item counts 2 there, any other -1, and the best run of words is a bound of the alignment. So a common phrase costs a
+look at the words around it and loses nothing. The score is the best alignment's over that of the item with itself, so
+edited and partly quoted copies score by what is left.
 
 The seeds of a slice of the benchmark go to the tasks; a slice has `SLICE` seeds at most, and a larger benchmark is
 searched in several slices. Items of more than `PART` words are aligned in parts of that length; the best part counts.
@@ -50,6 +53,8 @@ class Seeds:
     words: list[np.ndarray]  # of each item
     ids: list[int | None]
     filter: np.ndarray
+    sizes: np.ndarray  # words of each item
+    has: np.ndarray  # sorted hashes of (item, word)
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> "Seeds":
@@ -73,30 +78,38 @@ class Seeds:
         values, first = np.unique(every[order], return_index=True)
         filter_ = np.zeros(1 << 20, bool)
         filter_[values >> np.uint64(44)] = True
-        return cls(values, np.append(first, len(every)), item[order], place[order], words, ids, filter_)
+        sizes = np.array([len(w) for w in words], np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        has = np.unique(_of_item(np.concatenate([np.zeros(0, np.uint64), *words]), owner))
+        return cls(values, np.append(first, len(every)), item[order], place[order], words, ids, filter_, sizes, has)
 
-    def found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a run of word hashes at which a seed begins, and the number of its value."""
+    def found(self, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the word hashes of texts (bounded by edges) at which a seed begins, and the number of its value."""
         runs = W.windows(h, SEED)
         if not len(runs) or not len(self.values):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(self.filter[runs >> np.uint64(44)])
         value = np.minimum(np.searchsorted(self.values, runs[at]), len(self.values) - 1)
         there = self.values[value] == runs[at]
+        there &= at + SEED <= edges[np.searchsorted(edges, at, "right")]  # not over two texts
         return at[there], value[there]
 
-    def rare(self, frequency: np.ndarray) -> "Seeds":
-        """Only seeds at most as frequent as the median seed of their item; frequency is by value."""
-        counts = np.repeat(frequency, np.diff(self.edges))
-        middle = np.full(len(self.words), np.inf)
-        order = np.lexsort((counts, self.item))
-        sizes = np.bincount(self.item, minlength=len(self.words))
-        first = np.cumsum(sizes) - sizes
-        some = sizes > 0
-        middle[some] = counts[order][(first + (sizes - 1) // 2)[some]]
-        keep = counts <= middle[self.item]
-        every = np.repeat(self.values, np.diff(self.edges))
-        return self.sorted(every[keep], self.item[keep], self.place[keep], self.words, self.ids)
+    def bounds(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """What the alignment of each item with h[low:high] cannot exceed."""
+        n = high - low + 1  # a gap before each stretch parts it from the one before
+        where = W.gathered(np.arange(len(h) + 1), low, n) - 1
+        begin = np.cumsum(n) - n
+        key = _of_item(h[where], np.repeat(item, n))
+        at = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
+        worth = np.where(self.has[at] == key, _MATCH, _OTHER).astype(np.int64)
+        worth[begin] = -_MATCH * (len(where) + 1)
+        total = np.cumsum(worth)
+        return np.maximum.reduceat(total - np.minimum.accumulate(total), begin)
+
+
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A hash of each word and the item it is looked for in."""
+    return W.mix(words ^ W.mix(item.astype(np.uint64) + np.uint64(1)))
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,41 +137,35 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def _stretches(seeds: Seeds, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, from, to) of the stretches of a text on which items are to be laid."""
-    at, value = seeds.found(h)
-    if not len(at):
-        return
-    first, n = seeds.edges[value], seeds.edges[value + 1] - seeds.edges[value]
-    which = W.gathered(np.arange(len(seeds.item)), first, n)
-    begin = np.repeat(at, n) - seeds.place[which]
-    item = seeds.item[which]
-    length = np.array([len(w) for w in seeds.words])[item]
-    slack = length // 4 + 8
-    low, high = np.maximum(begin - slack, 0), np.minimum(begin + length + slack, len(h))
-    order = np.lexsort((low, item))
-    current: list[int] | None = None
-    for i, x, y in zip(item[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
-        if current and current[0] == i and x <= current[2]:
-            current[2] = max(current[2], y)
-        else:
-            if current:
-                yield tuple(current)
-            current = [i, x, y]
-    yield tuple(current)
-
-
-def _counted(seeds):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = seeds.value
-        total = np.zeros(len(s.values), np.int64)
-        for batch in batches:
-            for _, h, at in word_hashes(batch.column(0)):
-                for i in range(len(at) - 1):
-                    total[np.unique(s.found(h[at[i]:at[i + 1]])[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "n"])
-    return run
+def _stretches(seeds: Seeds, h: np.ndarray, edges: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, item, from, to) of the stretches of some texts on which items are to be laid, in parts of bounded size."""
+    at, value = seeds.found(h, edges)
+    n = seeds.edges[value + 1] - seeds.edges[value]
+    upto, first = np.cumsum(n), 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - n[first] + _CELLS, "right")))
+        some = slice(first, last)
+        first = last
+        which = W.gathered(np.arange(len(seeds.item)), seeds.edges[value[some]], n[some])
+        item, place = seeds.item[which], np.repeat(at[some], n[some])
+        text = np.searchsorted(edges, place, "right") - 1
+        begin = place - seeds.place[which]
+        order = np.lexsort((begin, text, item))
+        item, text, begin = item[order], text[order], begin[order]
+        gained = (_MATCH * (1 - least) * seeds.sizes[item]).astype(np.int64) + 1  # more words would cost too much
+        low = np.maximum(begin - gained, edges[text])
+        high = np.minimum(begin + seeds.sizes[item] + gained, edges[text + 1])
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (low[1:] > high[:-1])
+        begins = np.flatnonzero(new)
+        item, text, low, high = item[begins], text[begins], low[begins], high[np.append(begins[1:], len(new)) - 1]
+        width, done = np.cumsum(high - low + 1), 0
+        while done < len(item):
+            stop = max(done + 1, int(np.searchsorted(width, width[done] + _CELLS)))
+            part = slice(done, stop)
+            done = stop
+            good = seeds.bounds(item[part], low[part], high[part], h) >= least * _MATCH * seeds.sizes[item[part]]
+            yield text[part][good], item[part][good], low[part][good], high[part][good]
 
 
 def _aligned(seeds, least: float):
@@ -167,18 +174,18 @@ def _aligned(seeds, least: float):
         for batch in batches:
             out: dict[tuple[int, int | None], tuple[float, int]] = {}
             for first, h, at in word_hashes(batch.column(1)):
-                todo = [(first + i, item, at[i] + low, at[i] + high, low) for i in range(len(at) - 1)
-                        for item, low, high in _stretches(s, h[at[i]:at[i + 1]])]
-                todo.sort(key=lambda x: (x[3] - x[2], len(s.words[x[1]])))
-                while todo:
-                    n = max(1, min(len(todo), _CELLS // int(todo[-1][3] - todo[-1][2])))
-                    part, todo = todo[-n:], todo[:-n]
-                    score, end = align([s.words[x[1]] for x in part], [h[x[2]:x[3]] for x in part])
-                    for (row, item, _, _, low), top, stop in zip(part, score.tolist(), end.tolist(), strict=True):
-                        share = top / (_MATCH * len(s.words[item]))
-                        key = (row, s.ids[item])
-                        if share >= least and (share, -low - stop) > out.get(key, (0, 0)):
-                            out[key] = (share, -low - stop)
+                for stretches in _stretches(s, h, at, least):
+                    todo = list(zip(*[x.tolist() for x in stretches], strict=True))
+                    todo.sort(key=lambda x: (x[3] - x[2], len(s.words[x[1]])))
+                    while todo:
+                        n = max(1, min(len(todo), _CELLS // (todo[-1][3] - todo[-1][2])))
+                        part, todo = todo[-n:], todo[:-n]
+                        score, end = align([s.words[x[1]] for x in part], [h[x[2]:x[3]] for x in part])
+                        for (row, item, low, _), top, stop in zip(part, score.tolist(), end.tolist(), strict=True):
+                            share = top / (_MATCH * len(s.words[item]))
+                            key, stop = (first + row, s.ids[item]), int(at[row]) - low - stop
+                            if share >= least and (share, stop) > out.get(key, (0, 0)):
+                                out[key] = (share, stop)
             keys = sorted(out, key=lambda k: (k[0], k[1] is None, k[1] or 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.int64()),
@@ -207,12 +214,8 @@ def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
         for part in range(slices):
             rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).collect()
             seeds = Seeds.of(sorted({(r["item_id"], r["text"]) for r in rows}, key=str))
-            counts = plain.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(seeds)), "seed long, n long")
-            frequency = np.zeros(len(seeds.values))
-            for row in counts.groupBy("seed").agg(F.sum("n").alias("n")).collect():
-                frequency[row["seed"]] = row["n"]
-            rare = spark.sparkContext.broadcast(seeds.rare(frequency))
-            found = work.keep(plain.mapInArrow(_aligned(rare, least), "doc_id long, item_id long, score double, end_word long"), "found")
+            held = spark.sparkContext.broadcast(seeds)
+            found = work.keep(plain.mapInArrow(_aligned(held, least), "doc_id long, item_id long, score double, end_word long"), "found")
             out = found if out is None else out.unionByName(found)
         return out
     return worked_out(spark, "benchmark", build)

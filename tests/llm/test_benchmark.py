@@ -1,7 +1,9 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import benchmark, queries
@@ -116,3 +118,49 @@ def test_odd_table(spark, odd):
     assert benchmark.contaminated(odd.limit(0), items).collect() == []
     assert benchmark.contaminated(odd, items.limit(0)).collect() == []
     assert benchmark.clean(odd, items.limit(0)).count() == odd.count()
+
+
+def test_copies_down_to_half_are_found_beside_whole_ones(spark):
+    """The seeds that an edited copy has kept are the frequent ones of its item."""
+    rnd = random.Random(11)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(40))) for i in range(30)]
+    docs = []
+    for i, text in items:
+        docs += [text] * (i % 3)
+        every = text.split()
+        docs.append(" ".join("zz" if k % 5 == 4 else w for k, w in enumerate(every)))
+        for share in (0.1, 0.2, 0.3):
+            docs.append(" ".join(f"n{rnd.randint(0, 99)}" if rnd.random() < share else w for w in every))
+        # Words put in behind the only run of three words that is left.
+        docs.append(" ".join(every[:3] + [x for k in range(3, 39, 2) for x in (*every[k:k + 2], "zz")]))
+    docs += docs[:6] * 50
+    docs = [(d, f"before {t} after") for d, t in enumerate(docs)]
+    wanted = {k: s for k, s in by_hand(docs, items).items() if shares_a_run(docs[k[0]][1], items[k[1]][1])}
+    assert min(wanted.values()) < 0.6
+    got = found(benchmark.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert got == pytest.approx(wanted)
+
+
+def shares_a_run(a, b):
+    a, b = ({tuple(w[k:k + 3]) for k in range(len(w) - 2)} for w in (words(a), words(b)))
+    return bool(a & b)
+
+
+def test_the_bound_loses_nothing(monkeypatch):
+    """Few different words, so that all runs are common; with the bound as without it, in parts of any size."""
+    rnd = random.Random(12)
+    def say(n):
+        return " ".join(f"c{rnd.randint(0, 4)}" for _ in range(n))
+    items = [(i, say(rnd.choice([5, 9, 20]))) for i in range(20)]
+    docs = [(d, say(rnd.choice([0, 2, 15, 60]))) for d in range(40)]
+    best, held = by_hand(docs, items), benchmark.Seeds.of(items)
+    batch = pa.record_batch([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    def rows():
+        return pa.Table.from_batches(benchmark._aligned(SimpleNamespace(value=held), 0.5)(iter([batch]))).to_pylist()
+    for cells in (500_000, 100):
+        with monkeypatch.context() as m:
+            m.setattr(benchmark, "_CELLS", cells)
+            got = rows()
+            m.setattr(benchmark.Seeds, "bounds", lambda self, item, *_: np.full(len(item), 1 << 30))
+            assert got == rows() and got
+        assert all(r["score"] <= best[r["doc_id"], r["item_id"]] + 1e-9 for r in got)
