@@ -4,9 +4,12 @@ Subwords are the runs of two to four characters of lower-cased words with their
 embeddings. The mean embedding of a text goes through a linear layer and a softmax. Both are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled texts. A part of the sample is set aside to find the
 temperature that calibrates the probability, and the lowest score at which accepted texts reach the wanted accuracy.
+A softmax is sure of texts in no language it knows too, so a text must also look like its language: the mean log share
+of the language's learned texts that have each of its subwords must reach a floor. It lies between the least like text
+of the part set aside and the same part with the letters of each word in random order.
 
 For prediction the two linear maps are multiplied out into one table (embeddings x languages, so its size is fixed by
-the number of languages), and a text's logits are the mean of its subwords' rows, over the whole text.
+the number of languages), and a text's logits are the mean of its subwords' rows, over the whole text. So is its likeness.
 """
 
 from __future__ import annotations
@@ -112,6 +115,8 @@ class Model:
     table: np.ndarray  # logits of each bucket, over the temperature
     bias: np.ndarray
     threshold: float  # scores below it are rejected
+    likeness: np.ndarray  # log share of each language's learned texts that have a bucket
+    floor: float  # likenesses to the predicted language below it are rejected
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -124,7 +129,7 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 12,
     """Fit on the given texts (of longer ones a stretch of `letters` characters); every fifth calibrates."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 0.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 0.0, np.zeros((1 << BITS, 0), np.float32), 0.0)
     number = {v: i for i, v in enumerate(languages)}
     random = np.random.default_rng(seed)
     order = random.permutation(len(texts))
@@ -159,9 +164,24 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 12,
     down = np.argsort(-score, kind="stable")
     kept = np.cumsum(right[down]) / np.arange(1, len(down) + 1)
     good = np.flatnonzero(kept >= accuracy)
-    # The lowest accepted score; nothing is rejected if all of them together are accurate enough.
-    threshold = 0.0 if not len(good) or good[-1] == len(down) - 1 else float(score[down[good[-1]]])
-    return Model(languages, (table @ weight / heat).astype(np.float32), bias / heat, threshold)
+    # The lowest accepted score; no cut if all of them together are accurate enough, all is cut if none is.
+    threshold = np.inf if not len(good) else 0.0 if good[-1] == len(down) - 1 else float(score[down[good[-1]]])
+    having, texts_of = np.zeros((1 << BITS, len(languages)), np.float32), np.bincount(truth[learn], minlength=len(languages))
+    for i in learn:
+        having[bags[i][0], truth[i]] += 1
+    likeness = np.log((having + 0.5) / (texts_of + 1)).astype(np.float32)
+    like, unlike = [], []
+    for i in check[right]:
+        (at, share), v = bags[i], truth[i]
+        if len(at):  # without itself if it was learned
+            own = 0 if aside[i] else 1
+            like.append(float(share @ np.log((having[at, v] - own + 0.5) / (texts_of[v] - own + 1))))
+            words = _window(texts[order[i]], letters).split()
+            at, share = _bag(" ".join("".join(random.permutation(list(w))) for w in words))
+            unlike.append(float((share @ likeness[at]).max()) if len(at) else like[-1])
+    # Between the least like text and texts of the same letters in no language.
+    floor = min(min(like), (min(like) + float(np.median(unlike))) / 2) if like else -np.inf
+    return Model(languages, (table @ weight / heat).astype(np.float32), bias / heat, threshold, likeness, floor)
 
 
 def fit(documents: DataFrame, rows: int = 2000, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
@@ -192,25 +212,29 @@ def scored(documents: DataFrame, model: Model, text: str = "text", into: str = "
     """The documents with a struct (lang, score, accepted).
 
     lang is `und` with score 0, not accepted, if the text is null or has no letter, or if nothing was learned.
-    Otherwise it is the likeliest language, and accepted says whether the score reaches the model's threshold.
+    Otherwise it is the likeliest language, and accepted says whether the score reaches the model's threshold and the
+    text is as like its language as the model's floor asks.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
     @F.arrow_udf("lang string, score double, accepted boolean")
     def predict(column: pa.Array) -> pa.Array:
-        m, langs, scores = held.value, [], []
+        m, langs, scores, accepted = held.value, [], [], []
+        both = np.concatenate([m.table, m.likeness], axis=1)
         for first, last, *_ in W.pieces(column):
-            rows, count = mean_rows(m.table, column.slice(first, last - first).to_pylist())
+            rows, count = mean_rows(both, column.slice(first, last - first).to_pylist())
             if not m.languages:
                 langs += [UNKNOWN] * len(count)
                 scores += [0.0] * len(count)
+                accepted += [False] * len(count)
                 continue
-            p = _softmax(rows + m.bias)
+            p = _softmax(rows[:, :len(m.languages)] + m.bias)
             best = p.argmax(1)
+            like = rows[np.arange(len(rows)), len(m.languages) + best]
+            accepted += ((count > 0) & (p.max(1) >= m.threshold) & (like >= m.floor)).tolist()
             langs += [m.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), count.tolist(), strict=True)]
             scores += np.where(count > 0, p.max(1), 0.0).tolist()
-        accepted = [v != UNKNOWN and s >= m.threshold for v, s in zip(langs, scores, strict=True)]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], fields=list(kind))
 
     return documents.withColumn(into, predict(F.col(text).cast("string")))

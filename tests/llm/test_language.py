@@ -64,3 +64,23 @@ def test_repeated_training_gives_the_same_model():
     texts, labels = ["aa bb", "cc dd", "aa cc", "dd ee"] * 5, ["x", "y", "x", "y"] * 5
     a, b = language.train(texts, labels), language.train(texts, labels)
     assert (a.table == b.table).all() and a.threshold == b.threshold
+
+
+def test_what_was_not_learned_is_rejected(spark, documents):
+    """Random letters, letters of learned texts in another order, languages never learned; learned texts all stay."""
+    from pyspark.sql import functions as F
+    rnd = np.random.default_rng(8)
+    plain = [r["text"] for r in documents.where(F.length("text") > 60).orderBy("doc_id").limit(30).collect()]
+    strange = ["".join(rnd.permutation(list(t))) for t in plain]
+    strange += [" ".join("".join(rnd.choice(list("abcdefghijklmnopqrstuvwxyz"), len(w))) for w in t.split()) for t in plain]
+    strange += ["Съешь же ещё этих мягких французских булок, да выпей чаю", "天地玄黃宇宙洪荒日月盈昃", "Onko sinulla huomenna illalla yhtään aikaa"]
+    model = language.fit(documents)
+    def accepted(texts):
+        return [r["language"]["accepted"] for r in language.scored(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    assert not any(accepted(strange)) and all(accepted(plain))
+
+
+def test_nothing_is_accepted_if_no_cut_is_accurate_enough():
+    rnd = np.random.default_rng(4)
+    texts = [" ".join("".join(rnd.choice(list("klm"), 5)) for _ in range(30)) for _ in range(100)]
+    assert language.train(texts, ["x", "y"] * 50, accuracy=1.01).threshold > 1
