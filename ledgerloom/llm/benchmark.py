@@ -222,7 +222,17 @@ def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 
 def clean(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, unchanged."""
-    name = unused(documents, "_found")
-    found = contaminated(documents, items, key, text, **options).select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(found, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The documents that hold no item, unchanged.
+
+    Texts decide, so a clean text stays beside a contaminated one of the same id or of no id. Rows without a text hold
+    nothing and go with a contaminated row of their id.
+    """
+    name, none = unused(documents, "_found"), F.col(text).isNull()
+    h = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    texts = documents.select(h.alias("doc_id"), F.col(text).alias("text"))
+    found = contaminated(texts, items, **options).select(F.col("doc_id").alias(name)).distinct()
+    left = documents.join(found, h == F.col(name), "left_anti")
+    if documents.where(none).isEmpty():
+        return left
+    ids = documents.join(found, h == F.col(name), "left_semi").select(F.col(key).cast("long").alias(name)).distinct()
+    return left.join(ids, none & F.col(key).cast("long").eqNullSafe(F.col(name)), "left_anti")

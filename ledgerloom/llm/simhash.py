@@ -55,6 +55,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
+def _hashed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fp, h) of rows (doc_id, text, h)."""
+    for batch in batches:
+        for found in _fingerprints([batch]):
+            yield pa.RecordBatch.from_arrays([*found.columns, batch.column(2)], ["doc_id", "fp", "h"])
+
+
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     plain = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -147,6 +154,19 @@ def near_links(work: Workspace, fps: DataFrame) -> DataFrame:
     return links
 
 
+def _components(work: Workspace, rows: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of each fingerprint of rows (doc_id, fp)."""
+    fps = work.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+    roots = components(work, near_links(work, fps.select("fp")))
+    linked = roots.join(fps.withColumnRenamed("fp", "node"), "node")
+    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
+    moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest", "root", F.lit(True).alias("moved"))
+    chosen = F.when(F.col("moved"), F.col("lowest")).otherwise(F.col("least"))
+    # Written first, so that the last join has a shuffle of its own and Spark can split a fingerprint of many copies.
+    return work.keep(fps.join(moved, "fp", "left").select(
+        "fp", chosen.alias("component_id"), F.coalesce("root", "fp").alias("root")), "ids")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of documents.
 
@@ -157,14 +177,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     def build(work: Workspace) -> DataFrame:
         rows = work.keep(fingerprints(documents, key, text), "rows")
-        fps = work.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-        roots = components(work, near_links(work, fps.select("fp")))
-        linked = roots.join(fps.withColumnRenamed("fp", "node"), "node")
-        lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-        moved = roots.join(lowest, "root").select(F.col("node").alias("fp"), "lowest", F.lit(True).alias("moved"))
-        chosen = F.when(F.col("moved"), F.col("lowest")).otherwise(F.col("least"))
-        # Written first, so that the last join has a shuffle of its own and Spark can split a fingerprint of many copies.
-        per_fp = work.keep(fps.join(moved, "fp", "left").select("fp", chosen.alias("component_id")), "ids")
+        per_fp = _components(work, rows)
         return rows.join(per_fp, "fp").select(
             "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return worked_out(documents.sparkSession, "simhash", build)
@@ -173,10 +186,22 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, one of each group of near copies: the one with the smallest id, whole and unchanged.
 
-    Repeated rows of that id give one row.
+    A group gives one row whatever its ids are, so different texts under one id or under null stay if they are no near
+    copies; of several texts of the smallest id the one with the smallest hash stays. Repeated rows give one row.
     """
-    found = near_duplicates(documents, key, text)
-    name = unused(documents, "_kept")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
-    same = F.col(key).cast("long").eqNullSafe(F.col(name))
-    return documents.join(kept.distinct(), same, "left_semi").dropDuplicates([key])
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+    def build(work: Workspace) -> DataFrame:
+        plain = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        printed = work.keep(plain.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).mapInArrow(
+            _hashed_fingerprints, "doc_id long, fp long, h long"), "rows")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
+        per_fp = printed.groupBy("fp").agg(least.alias("first"))
+        roots = _components(work, printed.select("doc_id", "fp")).select("fp", "root")
+        return per_fp.join(roots, "fp").groupBy("root").agg(F.min("first").alias("f")).select("f.doc_id", "f.h")
+    kept = worked_out(documents.sparkSession, "simhash", build)
+    one, h = unused(documents, "_kept"), unused(documents, "_hash")
+    same = F.col(key).cast("long").eqNullSafe(F.col(one)) & (F.xxhash64(whole) == F.col(h))
+    kept = kept.select(F.col("doc_id").alias(one), F.col("h").alias(h)).distinct()
+    marked = documents.join(kept, same, "inner").dropDuplicates([one, h])
+    return marked.select(*documents.columns)

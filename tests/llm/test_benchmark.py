@@ -164,3 +164,10 @@ def test_the_bound_loses_nothing(monkeypatch):
             m.setattr(benchmark.Seeds, "bounds", lambda self, item, *_: np.full(len(item), 1 << 30))
             assert got == rows() and got
         assert all(r["score"] <= best[r["doc_id"], r["item_id"]] + 1e-9 for r in got)
+
+
+def test_clean_texts_stay_beside_contaminated_ones_of_their_id(spark):
+    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    rows = [(None, "one two three four"), (None, "other words here"), (5, "see one two three four"), (5, "nothing of it"), (6, None)]
+    left = benchmark.clean(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)

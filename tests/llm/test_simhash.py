@@ -110,3 +110,10 @@ def test_components_of_a_long_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     found = {r["node"]: r["root"] for r in links.components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 260)}}
+
+
+def test_different_texts_under_one_id_stay(spark):
+    texts = [" ".join(f"t{i}w{k}" for k in range(50)) for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (3, texts[2]), (3, texts[3]), (4, texts[3]), (5, texts[4]), (5, texts[4]), (None, texts[4])]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted({rows[i] for i in (0, 1, 3, 4, 6)}, key=str)
