@@ -249,10 +249,10 @@ def _repeats(work: Workspace, documents: DataFrame, key: str, text: str) -> tupl
     work.drop("anchors", "shared")
     seen = work.keep(shared.select("doc", "h", "text", "anchors").mapInArrow(
         _windows, "a long, b int, doc long, h long, times long"), "windows")
-    firsts = (seen.groupBy("a", "b").agg(F.min("doc").alias("doc"), F.sum("times").alias("n")).where("n > 1"))
-    own = firsts.groupBy("doc").agg(F.collect_list("a").alias("first"))
+    firsts = (seen.groupBy("a", "b").agg(F.min(F.struct("doc", "h")).alias("f"), F.sum("times").alias("n")).where("n > 1"))
+    own = firsts.groupBy("f.doc", "f.h").agg(F.collect_list("a").alias("first"))
     texts = shared.select("doc", "h", "text")
-    cut = work.keep(texts.join(own, "doc").select("doc", "h", "text", "first").mapInArrow(
+    cut = work.keep(texts.join(own, ["doc", "h"]).select("doc", "h", "text", "first").mapInArrow(
         _cut, "doc long, h long, start long, words string, windows array<long>"), "sections")
     source = cut.select(F.struct("doc", "h", "start").alias("section"), F.explode("windows").alias("a"))
     asked = seen.select("a", "doc", "h").join(source, "a").select("doc", "h", "section").distinct()

@@ -76,3 +76,18 @@ def test_texts_without_repeats(odd):
 def test_empty_table(odd):
     assert passages.repeats(odd.limit(0)).collect() == []
     assert passages.without_repeats(odd.limit(0)).collect() == []
+
+
+def test_texts_of_one_id_get_only_their_own_windows(spark, monkeypatch):
+    cut = passages._cut
+    def watched(batches):
+        def checked():
+            for batch in batches:
+                assert all(len(first) <= 11 for first in batch.column(3).to_pylist())
+                yield batch
+        return cut(checked())
+    monkeypatch.setattr(passages, "_cut", watched)
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(20)]
+    rows = [(None, f"{t} {end}") for t in texts for end in ("x", "y")]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in found) == [0] * 20 + [30] * 20
