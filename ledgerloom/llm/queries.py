@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Workspace
-from ledgerloom.llm import benchmark, chat, edits, language, passages, periods, pieces, quality, shards, simhash, urls
+from ledgerloom.llm import benchmark, chat, edits, language, passages, periods, pieces, quality, repair, shards, simhash, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,9 +74,14 @@ def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     return periods.collapsed(periods.looped(_table(spark, folder, "documents")), digests=True)
 
 
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    return repair.summaries(repair.damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [op1_urls, op2_language, op3_simhash, op4_passages, op5_edits, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces,
-             op12_periods]
+             op12_periods, op13_repair]
     return {f.__name__: f for f in every}
 
 
