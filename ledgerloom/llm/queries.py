@@ -99,6 +99,60 @@ SELECT conv_id, ((place - 1) // 256)::INTEGER AS part, any_value(n) AS n_turns,
        string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10), ''
                   ORDER BY place) AS rendered
 FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, (place - 1) // 256""",
+    "op13_repair": r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b)) AS t),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                        lambda x: ascii(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS code
+  FROM conversations, bytes),
+hurt AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE code WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM coded WHERE code <> 0),
+seen AS (
+  SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final, left(role, 1) AS r,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt),
+turns AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS broken FROM seen),
+talks AS (
+  SELECT conv_id, count(*) AS n, list({'r': r, 'gone': fault IN ('blank', 'duplicate'), 'more': CASE fault WHEN 'truncated' THEN 5 ELSE 0 END} ORDER BY i) AS l,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (broken) AS illegal FROM turns GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n, l, 0 AS i, {'c': 0::BIGINT, 'a': ''} AS s0, {'c': 1000000000::BIGINT, 'a': ''} AS s1,
+         {'c': 5::BIGINT, 'a': 'I'} AS s2, {'c': 10::BIGINT, 'a': 'II'} AS s3 FROM talks
+  UNION ALL
+  SELECT conv_id, n, l, i, s0, s1, t2, list_min([t3, {'c': t2.c + 5, 'a': t2.a || 'I'}]) FROM (
+    SELECT conv_id, n, l, i, s0, s1, t3, list_min([t2] || list_transform([s0, s1, t3], lambda x: {'c': x.c + 5, 'a': x.a || 'I'})) AS t2 FROM (
+      SELECT conv_id, n, l, i + 1 AS i, {'c': s0.c + 2, 'a': s0.a || 'D'} AS s0,
+             list_min([{'c': s1.c + 2, 'a': s1.a || 'D'}] || CASE WHEN NOT e.gone AND e.r = 's' THEN [{'c': s0.c + e.more, 'a': s0.a || 'K'}] ELSE [] END) AS s1,
+             list_min([{'c': s2.c + 2, 'a': s2.a || 'D'}]
+               || CASE WHEN NOT e.gone AND e.r = 'u' THEN list_transform([s0, s1, s3], lambda x: {'c': x.c + e.more, 'a': x.a || 'K'}) ELSE [] END
+               || CASE WHEN NOT e.gone THEN list_transform([s0, s1, s3], lambda x: {'c': x.c + 1 + e.more, 'a': x.a || 'R'}) ELSE [] END) AS t2,
+             list_min([{'c': s3.c + 2, 'a': s3.a || 'D'}] || CASE WHEN NOT e.gone AND e.r = 'a' THEN [{'c': s2.c + e.more, 'a': s2.a || 'K'}] ELSE [] END
+               || CASE WHEN NOT e.gone THEN [{'c': s2.c + 1 + e.more, 'a': s2.a || 'R'}] ELSE [] END) AS t3
+      FROM (SELECT *, l[i + 1] AS e FROM walk WHERE i < n)))),
+best AS (SELECT conv_id, list_min([s0, s3]) AS b FROM walk WHERE i = n),
+edits AS (
+  SELECT conv_id, k, e, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS m
+  FROM (SELECT conv_id, unnest(string_split(b.a, '')) AS e, unnest(range(1, length(b.a) + 1)) AS k FROM best WHERE b.a <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+left_over AS (
+  SELECT conv_id, k, e, m, r, role, text, max(CASE WHEN e = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead
+  FROM edits LEFT JOIN turns USING (conv_id, i) WHERE e <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+                             CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole FROM left_over GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN talks USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN lines USING (conv_id)""",
     "op4_passages": r"""
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

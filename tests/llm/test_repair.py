@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from checks import compare
 from ledgerloom.llm import queries, repair
 
 FOLDER = "/root/testdata/sf0.001"
@@ -134,6 +135,10 @@ def test_query_by_hand(spark):
     assert got(queries.op13_repair(spark, FOLDER)) == expected(damage(rows), {r[0] for r in rows})
 
 
+def test_query_matches_sql(spark):
+    assert compare.compare(queries.op13_repair(spark, FOLDER), compare.connect(FOLDER), queries.oracle_sql()["op13_repair"]) is None
+
+
 @pytest.mark.parametrize("part", [256, 3])
 def test_odd_rows(spark, monkeypatch, part):
     """Also with conversations cut into many parts; a third of all rows in one of them, many without a number."""
