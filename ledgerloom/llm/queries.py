@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.store import Workspace
-from ledgerloom.llm import benchmark, chat, edits, language, passages, periods, pieces, quality, repair, shards, simhash, urls
+from ledgerloom.llm import benchmark, chat, edits, language, passages, periods, pieces, quality, repair, shards, simhash, urls, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +70,16 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = Workspace(spark, "archive")
+    try:
+        read = warc.write(_table(spark, folder, "pages"), archive.folder).records(payload=False)
+        return Workspace(spark, "records").keep(read.select(
+            F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+    finally:
+        archive.remove()
+
+
 def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     return periods.collapsed(periods.looped(_table(spark, folder, "documents")), digests=True)
 
@@ -81,7 +91,7 @@ def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [op1_urls, op2_language, op3_simhash, op4_passages, op5_edits, op6_benchmark, op7_quality, op8_shards, op9_chat, op10_pieces,
-             op12_periods, op13_repair]
+             op11_warc, op12_periods, op13_repair]
     return {f.__name__: f for f in every}
 
 
@@ -99,6 +109,11 @@ SELECT conv_id, ((place - 1) // 256)::INTEGER AS part, any_value(n) AS n_turns,
        string_agg('<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10), ''
                   ORDER BY place) AS rendered
 FROM turns JOIN kept USING (conv_id) GROUP BY conv_id, (place - 1) // 256""",
+    "op11_warc": """
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)""",
     "op13_repair": r"""
 WITH RECURSIVE bytes AS (
   SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b)) AS t),
