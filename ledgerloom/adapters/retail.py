@@ -287,7 +287,7 @@ class Retail:
         events = self.read("events").select(
             F.col("user_id").cast("string").alias("employee_id"), "ts", "event_id",
             F.col("event_type").alias("segment_code"))
-        versions = scd2(events, "employee_id", "ts", ["segment_code"], "event_id", F.to_date("ts"))
+        versions = scd2(events, "employee_id", "ts", ["segment_code"], "event_id")
         salary = (50000 + F.col("employee_id").cast("int") * 100).cast("decimal(18,2)")
         return versions.select(
             "employee_id", "version_seq", "effective_from", "effective_to", "is_current", "segment_code",

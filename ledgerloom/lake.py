@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import scratch
 
-def settled(frame: DataFrame, name: str = "table") -> DataFrame:
+def settled(frame: DataFrame, name: str = "table", rebalance: bool = True) -> DataFrame:
     """Write a frame to a fresh folder below the shared one and return the written copy."""
     path = scratch(frame.sparkSession, name)
     # Rebalanced, so that files are of even size however the rows were spread.
-    frame.hint("rebalance").write.parquet(path)
+    (frame.hint("rebalance") if rebalance else frame).write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

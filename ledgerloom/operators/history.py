@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fixed
-from ledgerloom.operators.ordered import along
+from ledgerloom.operators.ordered import SLICE_ROWS, along
 
 
 def scd2(changes: DataFrame, key: str, at: str, attrs: list[str], tiebreak: str,
-         slice_by: Column) -> DataFrame:
+         slice_by: Column | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """State changes -> versions [effective_from, effective_to), numbered, last one open.
 
     Repeats of the same state collapse into one version. Both passes work on (key, slice)
-    groups, so one very busy key is spread over as many tasks as it has slices.
+    groups, so one very busy key is spread over as many tasks as it has slices. Without
+    `slice_by` the slices are cut from the changes, at most about `rows` each, so that a key
+    whose changes share one instant is spread too; see `along`.
     """
     order = [at, tiebreak]
-    seen = along(changes.select(key, at, tiebreak, *attrs), [key], order, slice_by,
+    seen = along(changes.select(key, at, tiebreak, *attrs), [key], order, slice_by, rows=rows,
                  previous={f"_was_{a}": a for a in attrs}, number="_seq")
     same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_was_{a}")) for a in attrs])
     starts = seen.where((F.col("_seq") == 1) | ~same).select(key, at, tiebreak, *attrs)
-    versions = along(starts, [key], order, slice_by, following={"_next": at}, number="version_seq")
+    versions = along(starts, [key], order, slice_by, rows=rows, following={"_next": at}, number="version_seq")
     end_type = changes.schema[at].dataType
     return versions.select(
         key, "version_seq",

@@ -49,15 +49,15 @@ def documents_of(lines: DataFrame) -> DataFrame:
 
 
 def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
-                  lines_per_slice: int = 10_000) -> tuple[DataFrame, DataFrame]:
+                  lines_per_slice: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Invoice creation: a debit per line, one credit of the payable for the document total.
 
     The last debit absorbs the rounding so that each journal balances to the cent. Lines are
-    numbered through bounded slices, so a document of any length is spread over tasks.
+    numbered through slices that are cut from the lines themselves, so a document of any length is
+    spread over tasks, also if its lines have no numbers.
     """
     order = ["line_number", "invoice_line_id"]
-    numbered = along(lines, ["invoice_id"], order,
-                     F.floor(F.coalesce("line_number", F.lit(0)) / lines_per_slice), number="_no")
+    numbered = along(lines, ["invoice_id"], order, number="_no", rows=lines_per_slice)
     booked = settle_residual(numbered, "invoice_id", order, "amount", documents, "invoice_amount", "_debit")
     zero = F.lit(0).cast("decimal(18,2)")
     debits = booked.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import allocate, keyed, series
 from ledgerloom.operators.history import scd2, snapshot
-from ledgerloom.operators.ordered import along
+from ledgerloom.operators.ordered import along, cut, numbered
 from ledgerloom.operators.resolve import resolve_suppliers
 
 
@@ -30,6 +30,34 @@ def test_along_equals_plain_window(spark, rows):
         assert rows(got.withColumn("run", F.col("run").cast("bigint"))) == rows(want)
 
 
+def test_slices_are_cut_from_the_rows(spark, rows):
+    """One key with 90 % of all rows, all of them on one instant or without one; NULL keys; rows told apart by nothing."""
+    data = [(1, 5 if i % 3 else None, i % 4) for i in range(900)] + [(None if i % 2 else i % 7, i % 5, i) for i in range(100)]
+    df = spark.createDataFrame(data, "k int, t int, x int").repartition(5)
+    got = along(df, ["k"], ["t", "x"], previous={"was": "x"}, following={"next": "x"}, running={"run": "x"}, number="no", rows=50)
+    w = Window.partitionBy("k").orderBy("t", "x")
+    want = df.select("k", "t", "x", F.lag("x").over(w).alias("was"), F.lead("x").over(w).alias("next"),
+                     F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.row_number().over(w).alias("no"))
+    assert rows(got.withColumn("run", F.col("run").cast("bigint"))) == rows(want)
+    sizes = [r["count"] for r in cut(df, ["k", "t"], 50).groupBy("_slice").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 100 and sum(sizes) == 1000
+    assert along(df.limit(0), ["k"], ["t"], number="no").collect() == []
+
+
+def test_numbers_over_the_whole_table(spark):
+    df = skewed(spark)
+    got = [(r.t, r.id, r.n) for r in numbered(df, ["t", "id"], "n", start=7, rows=40).orderBy("n").collect()]
+    assert got == [(t, i, 7 + n) for n, (t, i) in enumerate(sorted((r.t, r.id) for r in df.collect()))]
+
+
+def test_versions_of_a_key_whose_changes_share_an_instant(spark, rows):
+    day = dt.date(2024, 1, 1)
+    changes = spark.createDataFrame([("w", day, i, "AB"[i // 50 % 2]) for i in range(500)] + [("v", day, 500, "A")], "id string, at date, n int, s string")
+    got = scd2(changes, "id", "at", ["s"], "n", rows=30)
+    assert got.where("id = 'w'").count() == 10 and got.where("is_current").count() == 2
+    assert rows(got) == rows(scd2(changes, "id", "at", ["s"], "n", F.lit(0)))
+
+
 def test_one_per_key_and_most_common(spark, rows):
     df = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("b", 1, None), (None, 5, "n")], "k string, o int, v string")
     first = keyed.one_per_key(df, ["k"], [F.col("v").isNull(), F.col("o")])
