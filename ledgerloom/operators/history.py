@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fixed
-from ledgerloom.operators.ordered import SLICE_ROWS, along
+from ledgerloom.operators.ordered import SLICE_ROWS, along, cut
 
 
 def scd2(changes: DataFrame, key: str, at: str, attrs: list[str], tiebreak: str,
@@ -20,12 +20,13 @@ def scd2(changes: DataFrame, key: str, at: str, attrs: list[str], tiebreak: str,
     `slice_by` the slices are cut from the changes, at most about `rows` each, so that a key
     whose changes share one instant is spread too; see `along`.
     """
-    order = [at, tiebreak]
-    seen = along(changes.select(key, at, tiebreak, *attrs), [key], order, slice_by, rows=rows,
-                 previous={f"_was_{a}": a for a in attrs}, number="_seq")
+    order, rows_of_key = [at, tiebreak], changes.select(key, at, tiebreak, *attrs)
+    if slice_by is None:  # cut once for both passes
+        rows_of_key, order, slice_by = cut(rows_of_key, [key, *order], rows), ["_row"], F.col("_slice")
+    seen = along(rows_of_key, [key], order, slice_by, previous={f"_was_{a}": a for a in attrs}, number="_seq")
     same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_was_{a}")) for a in attrs])
-    starts = seen.where((F.col("_seq") == 1) | ~same).select(key, at, tiebreak, *attrs)
-    versions = along(starts, [key], order, slice_by, rows=rows, following={"_next": at}, number="version_seq")
+    starts = seen.where((F.col("_seq") == 1) | ~same).select(*rows_of_key.columns)
+    versions = along(starts, [key], order, slice_by, following={"_next": at}, number="version_seq")
     end_type = changes.schema[at].dataType
     return versions.select(
         key, "version_seq",
