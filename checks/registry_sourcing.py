@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.registry import on_lake, query
 from ledgerloom import gates
 from ledgerloom.adapters.retail import Retail
+from ledgerloom.classify import boost, encode
 from ledgerloom.classify import evaluate as E
 from ledgerloom.classify import features as X
 from ledgerloom.classify import model as M
@@ -211,19 +212,76 @@ def _cache(retail: Retail) -> DataFrame:
     return M.texts_to_embed(texts, cache, "text").select("text_hash", F.length("text").alias("chars"))
 
 
+@query("tfidf_vocabulary")
+def _vocabulary(retail: Retail) -> DataFrame:
+    rows = retail.read("documents")
+    words = encode.fit(rows, "doc_id", "text", [], [], terms_at_most=5000).terms
+    return words.select("term", "index", "rows", F.round("idf", 9).alias("idf"))
+
+
+@query("tfidf_rows")
+def _weighted(retail: Retail) -> DataFrame:
+    """The term weights of every document, summed up."""
+    rows = retail.read("documents")
+    found = encode.fit(rows, "doc_id", "text", [], [], terms_at_most=5000).encoded(rows, "doc_id")
+    total = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)
+    return found.select("doc_id", F.size("indices").cast("long").alias("n_terms"), F.round(total, 6).alias("weight"),
+                        F.round(F.coalesce(F.array_max("vals"), F.lit(0.0)), 6).alias("largest"))
+
+
+@query("category_index")
+def _index(retail: Retail) -> DataFrame:
+    return encode.level_index(X.scoring_rows(retail.lake()), X.KEY, X.CATEGORIES, 50)
+
+
+@query("encoded_rows")
+def _encoded(retail: Retail) -> DataFrame:
+    """All nine category columns of every line as indexes."""
+    rows = settled(X.scoring_rows(retail.lake()).select(X.KEY, *X.CATEGORIES), "lines")
+    return encode.fit(rows, X.KEY, None, X.CATEGORIES, []).encoded(rows, X.KEY).select(X.KEY, "indices")
+
+
+@query("boosted_first_trees")
+def _first_trees(retail: Retail) -> DataFrame:
+    """One split a class on all lines: quantity, discount, tax, and a flag that is stored only where set."""
+    rows = retail.read("lineitem")
+    percent = lambda c: F.round(F.col(c) * 100).cast("double")
+    dense = F.array(F.col("l_quantity").cast("double"), percent("l_discount"), percent("l_tax"))
+    closed = F.col("l_linestatus") == "F"
+    sparse = rows.select(
+        F.when(closed, F.array(*map(F.lit, range(4)))).otherwise(F.array(*map(F.lit, range(3)))).alias("indices"),
+        F.when(closed, F.concat(dense, F.array(F.lit(1.0)))).otherwise(dense).alias("vals"),
+        F.when(F.col("l_quantity") <= 10, 0).when(percent("l_discount") >= 6, 1).otherwise(2).alias("label"), F.lit(1.0).alias("weight"))
+    forest = boost.fit(sparse, 3, boost.Settings(rounds=1, depth=1, rate=0.5, bins=100, l2=1.0))
+    return forest.table(retail.spark).select("class", "node", "feature", "threshold", F.round("value", 9).alias("value"))
+
+
+@query("boosted_interaction")
+def _interaction(retail: Retail) -> DataFrame:
+    """Labels that depend on two columns together: trees learn them all, a regression cannot."""
+    rows = retail.read("lineitem").select(
+        F.monotonically_increasing_id().alias(X.KEY), F.col("l_quantity").cast("double").alias("quantity"),
+        F.round(F.col("l_discount") * 100).cast("double").alias("discount"))
+    rows = settled(rows.withColumn("label", F.when((F.col("quantity") <= 15) == (F.col("discount") <= 3), "same").otherwise("cross")), "lines")
+    taxonomy = rows.select(F.col("label").alias("secondary_code"), F.lit("all").alias("primary_code")).distinct()
+
+    def right(linear: bool) -> DataFrame:
+        settings = M.Settings(trees=boost.Settings(rounds=2, depth=2, rate=0.5, bins=64), linear=linear, max_iter=10)
+        model = M.fit(rows, taxonomy, settings, [], ["quantity", "discount"], text=None)
+        return M.score(rows, model, "1").join(rows, X.KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted_secondary_category") == F.col("label")).alias("k"))
+    trees, linear = right(False), right(True).select(F.col("n").alias("n2"), F.col("k").alias("k2"))
+    both = trees.crossJoin(linear)  # one row each
+    return both.select(F.col("n").alias("lines"), F.col("k").alias("right"), (F.col("k") > F.col("k2") * 1.1).alias("beats_regression"))
+
+
 @query("clf_train_predict")
 def _train(retail: Retail) -> DataFrame:
-    """Train on the documents, predict all of them: language and source as parent and leaf."""
-    rows = retail.read("documents").select(
-        F.col("doc_id").alias(X.KEY), F.col("text").alias(X.TEXT), "lang", F.log1p("n_chars").alias("log_chars"),
-        F.col("lang").alias("label"))
-    taxonomy = rows.select(F.col("label").alias("secondary_code"),
-                           F.when(F.col("lang") == "en", "germanic").when(F.col("lang") == "de", "germanic")
-                           .otherwise("romance").alias("primary_code")).distinct()
-    train = rows.where(R.hash_percent(X.KEY) < 80)
-    settings = M.Settings(vocabulary=2000, max_iter=10)
-    fitted = M.fit(train, taxonomy, settings, categories=[], numbers=["log_chars"])
-    return M.score(rows, fitted, "1", "2024-01-01 00:00:00")
+    """Trees on text, all nine categories and all numbers of the training lines; the held-out lines are scored."""
+    lake = retail.lake().settle("fact_invoices")
+    rows = X.with_markers(X.features(lake))
+    train, holdout, maverick = X.split(rows)
+    fitted = M.fit(train, lake["dim_spend_category"], M.Settings(vocabulary=500, trees=boost.Settings(rounds=1, depth=3, rate=0.5)))
+    return M.score(holdout.unionByName(maverick), fitted, "1", "2024-01-01 00:00:00")
 
 
 @query("embedding_head")

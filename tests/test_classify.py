@@ -1,6 +1,12 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.classify import boost, encode
 from ledgerloom.classify import evaluate as E
 from ledgerloom.classify import features as X
 from ledgerloom.classify import model as M
@@ -16,9 +22,13 @@ def labelled(spark):
     return df, taxonomy
 
 
-def test_train_predict_save_load(spark, labelled, tmp_path):
+SMALL = boost.Settings(rounds=4, depth=4, rate=0.5, least_rows=1)
+
+
+@pytest.mark.parametrize("linear", [False, True])
+def test_train_predict_save_load(spark, labelled, tmp_path, linear):
     df, taxonomy = labelled
-    model = M.fit(df, taxonomy, M.Settings(vocabulary=100, min_category_rows=10, hash_width=64, max_iter=20), ["kind"], ["size"])
+    model = M.fit(df, taxonomy, M.Settings(vocabulary=100, min_category_rows=10, max_iter=20, trees=SMALL, linear=linear), ["kind"], ["size"])
     scored = M.score(df, model, "7", "2024-01-01")
     assert scored.count() == df.count()
     assert scored.where("primary_confidence < secondary_confidence - 1e-9 or primary_confidence > 1 + 1e-9").count() == 0
@@ -34,10 +44,121 @@ def test_train_predict_save_load(spark, labelled, tmp_path):
 
 def test_unknown_category_at_scoring(spark, labelled):
     df, taxonomy = labelled
-    model = M.fit(df, taxonomy, M.Settings(vocabulary=100, min_category_rows=10, hash_width=64, max_iter=5), ["kind"], ["size"])
+    model = M.fit(df, taxonomy, M.Settings(vocabulary=100, min_category_rows=10, trees=SMALL), ["kind"], ["size"])
     assert M.score(df.withColumn("kind", F.lit("never seen")), model, "1").count() == df.count()
 
 
+def test_label_outside_the_taxonomy(spark, labelled):
+    df, taxonomy = labelled
+    with pytest.raises(ValueError, match="Taxis"):
+        M.fit(df, taxonomy.where("secondary_code <> 'Taxis'"), M.Settings(trees=SMALL), ["kind"], [])
+
+
+def test_terms_by_hand(spark):
+    texts = {1: "Steel bolt, steel BOLT x 5", 2: "bolt nut", 3: None, 4: "", 5: "nut nut nut bolt steel", 6: "x y"}
+    df = spark.createDataFrame(list(texts.items()), "id int, t string")
+    def words(t):
+        w = [x for x in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() if len(x) > 1]
+        return Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))])
+    counts = {i: words(t) for i, t in texts.items()}
+    rows, times = Counter(w for c in counts.values() for w in c), sum(counts.values(), Counter())
+    kept = sorted((w for w in rows if rows[w] >= 2), key=lambda w: (-times[w], w))[:4]
+    enc = encode.fit(df, "id", "t", [], [], terms_at_most=4, least_rows=2)
+    idf = {w: math.log(7 / (1 + rows[w])) + 1 for w in kept}
+    assert [(r.term, round(r.idf, 9)) for r in enc.terms.orderBy("index").collect()] == [(w, round(idf[w], 9)) for w in kept]
+    got = {r["id"]: dict(zip(r["indices"], r["vals"])) for r in enc.encoded(df, "id").collect()}
+    assert got.keys() == texts.keys()
+    for i, c in counts.items():
+        raw = {kept.index(w): (1 + math.log(n)) * idf[w] for w, n in c.items() if w in kept}
+        length = math.sqrt(sum(v * v for v in raw.values())) or 1
+        assert got[i] == pytest.approx({k: v / length for k, v in raw.items()})
+
+
+def test_levels_are_sized_by_the_data(spark):
+    """Rare values share one slot per column, unseen ones get none, NULL is a value, no two values share a slot."""
+    df = spark.createDataFrame([(i, f"s{i % 40}" if i < 400 else f"rare{i}", None if i % 2 else "EUR", 1.5) for i in range(420)], "id int, a string, b string, n double")
+    enc = encode.fit(df, "id", None, ["a", "b"], ["n"], least_category_rows=5)
+    assert (enc.n_levels, enc.width) == (40 + 1 + 2, 44)
+    by = {(r["column"], r["value"]): r["index"] for r in enc.levels.collect()}
+    assert len(by) == 62 and sorted(set(by.values())) == list(range(43)) and len({by["a", f"rare{i}"] for i in range(400, 420)}) == 1
+    new = spark.createDataFrame([(1, "s3", "EUR", -2.0), (2, "never", None, None), (3, None, "USD", 0.0)], "id int, a string, b string, n double")
+    got = {r["id"]: list(zip(r["indices"], r["vals"])) for r in enc.encoded(new, "id").collect()}
+    assert got == {1: sorted([(by["a", "s3"], 1.0), (by["b", "EUR"], 1.0), (43, -2.0)]), 2: [(by["b", None], 1.0), (43, 0.0)], 3: [(43, 0.0)]}
+
+
+def plain_boost(X, y, w, k, s, cuts):
+    """The same trees by loops over a dense matrix."""
+    n, margins = len(y), np.tile([math.log(w[y == c].sum() / w.sum()) for c in range(k)], (len(y), 1))
+    for _ in range(s.rounds):
+        p = boost.softmax(margins)
+        steps = np.zeros_like(margins)
+        for c in range(k):
+            g, h = w * (p[:, c] - (y == c)), w * p[:, c] * (1 - p[:, c])
+            leaves, level = {1: (np.ones(n, bool), 0.0)}, [1]
+            for _ in range(s.depth):
+                found = []
+                for node in level:
+                    inside = leaves[node][0]
+                    best = None
+                    for f in range(X.shape[1]):
+                        for cut in cuts[f]:
+                            right = inside & (X[:, f] > cut)
+                            left = inside & ~right
+                            if min(left.sum(), right.sum()) < s.least_rows or min(h[left].sum(), h[right].sum()) < s.least_curvature:
+                                continue
+                            q = lambda m: g[m].sum() ** 2 / (h[m].sum() + s.l2)
+                            gain = q(left) + q(right) - q(inside)
+                            if gain > s.least_gain and (best is None or gain > best[0] + 1e-12):
+                                best = (gain, node, left, right)
+                    if best:
+                        found.append(best)
+                level = []
+                for _, node, left, right in sorted(found, key=lambda x: (-x[0], x[1])):
+                    if len(leaves) < s.leaves:
+                        del leaves[node]
+                        for child, m in ((2 * node, left), (2 * node + 1, right)):
+                            leaves[child] = m, -s.rate * g[m].sum() / (h[m].sum() + s.l2)
+                            level.append(child)
+            for m, value in leaves.values():
+                steps[m, c] += value
+        margins += steps
+    return boost.softmax(margins)
+
+
+def test_trees_by_hand(spark):
+    rnd = random.Random(5)
+    data = [([rnd.choice([0, 0, 1, 2, 3]), rnd.choice([0, 1]), rnd.choice([-2, -1, 0, 4])], rnd.randint(0, 2), rnd.choice([1.0, 2.0])) for _ in range(300)]
+    data = [(x, (x[0] > 1) + (x[2] > 0) if rnd.random() < 0.8 else y, w) for x, y, w in data]
+    sparse = [([i for i, v in enumerate(x) if v or i == 2], [float(v) for i, v in enumerate(x) if v or i == 2], y, w) for x, y, w in data]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(sparse)], "id int, indices array<int>, vals array<double>, label int, weight double").repartition(5)
+    s = boost.Settings(rounds=3, depth=3, leaves=6, rate=0.3, least_rows=5, l2=0.5)
+    forest = boost.fit(rows, 3, s)
+    X, y, w = (np.array([d[i] for d in data]) for i in (0, 1, 2))
+    cuts = [[0, 1, 2, 3], [0, 1], [-2, -1, 0, 4]]  # what is not stored is below the first
+    want = plain_boost(X, y, w, 3, s, cuts)
+    got = {r["id"]: r["probability"] for r in forest.probabilities(rows).collect()}
+    assert np.allclose([got[i] for i in range(len(data))], want, atol=1e-9)
+
+
+def test_trees_beat_regression_where_columns_interact(spark):
+    rows = [(i, float(i % 10), float(i // 10 % 10), "odd" if (i % 10 < 3) != (i // 10 % 10 < 4) else "even") for i in range(1000)]
+    df = spark.createDataFrame(rows, f"{X.KEY} int, a double, b double, label string")
+    taxonomy = spark.createDataFrame([("P", "odd"), ("P", "even")], "primary_code string, secondary_code string")
+    right = {}
+    for linear in (False, True):
+        model = M.fit(df, taxonomy, M.Settings(trees=boost.Settings(rounds=5, depth=3, rate=0.5), linear=linear), [], ["a", "b"], text=None)
+        right[linear] = M.score(df, model, "1").join(df, X.KEY).where("predicted_secondary_category = label").count()
+    assert right[False] == 1000 and right[True] < 800
+
+
+def test_odd_training_data(spark):
+    rows = spark.createDataFrame([([], [], 0, 1.0), ([0], [1.0], 1, None), ([0], [1.0], None, 1.0), ([0], [1.0], 7, 1.0)], "indices array<int>, vals array<double>, label int, weight double")
+    forest = boost.fit(rows, 2, boost.Settings(rounds=2, least_rows=1))
+    assert forest.rounds and forest.probabilities(rows).count() == 4
+    assert boost.fit(rows.limit(0), 2).rounds == [] and boost.fit(rows.where("label = 0"), 2).rounds == []
+    assert forest.probabilities(rows.limit(0)).collect() == []
+
+
 def test_split_is_complete_and_repeatable(spark):
     df = spark.range(2000).select(F.col("id").alias(X.KEY), (F.col("id") % 10 == 0).alias("is_maverick_supplier"))
     parts = X.split(df)
