@@ -16,6 +16,7 @@ A key is a document id and a copy number (0 where ids do not repeat).
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,8 +33,13 @@ from ledgerloom.llm.store import put
 
 SHARD_IDS = 500_000
 BUCKET_KEYS = 8_000
-CACHE_WORDS = 500_000
+RANGE_BYTES = 64 << 20  # of the stored table, by Spark's estimate
+CACHE_WORDS = 1_000_000
+PIECE = 2_000_000  # bytes of texts encoded at once
 _TAIL = b".,!?;:#*$%&|"
+_IS_TAIL, _IS_WORD = np.zeros(256, bool), np.zeros(256, bool)
+_IS_TAIL[list(_TAIL)] = True
+_IS_WORD[[b for b in range(128) if chr(b).isalnum()]] = True
 _LETTERS = re.compile(rb"[a-z]+").fullmatch
 _NULL = -(1 << 63)
 _SLOT = [("print", "<u4"), ("part", "<i4"), ("number", "<i4"), ("offset", "<i8"), ("size", "<i8")]
@@ -41,12 +47,12 @@ _MARK = "<|startoftext|>"
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library, each different word encoded once.
+    """Ids of whole texts from the tokenizers library, each different word of a piece looked up once.
 
     White space separates pre-tokens and gives no id of its own, so a text's ids are those of its words in turn. The
-    vocabulary lower-cases, so words are looked up with A-Z lowered; and punctuation that ends a word after a letter
-    or digit is a pre-token of its own, so it is looked up apart. Words with the opening of a special token are
-    encoded as they are.
+    vocabulary lower-cases, so words are looked up with A-Z lowered; and punctuation that ends a word whose normalised
+    form ends with a letter or digit is a pre-token of its own, so it is looked up apart. Words of texts with the
+    opening of a special token are encoded as they are. Words are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str):
@@ -62,7 +68,6 @@ class Encoder:
         wide = np.dtype(self.width).itemsize
         self.codes = [i.to_bytes(wide, "little") for i in range(self.library.get_vocab_size())]
         self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -70,32 +75,34 @@ class Encoder:
     def _raw(self, ids: list[int]) -> bytes:
         return b"".join(map(self.codes.__getitem__, ids))
 
+    def _ends_a_word(self, core: bytes) -> bool:
+        """Whether punctuation after these bytes is a pre-token of its own: decided by the last normalised character."""
+        shaped = self.library.normalizer.normalize_str(core.decode("utf-8", "replace")) if self.library.normalizer else core.decode("utf-8", "replace")
+        return bool(shaped) and unicodedata.category(shaped[-1])[0] in "LN"
+
     def _learn(self, words: list[bytes]) -> None:
-        """Put the ids of words into the cache, by way of those of their parts."""
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        known, pairs = self.parts, []
-        known[b""] = b""
+        """Put the ids of words into the cache. Runs of a to z are one pre-token and go to the library's model alone."""
+        cache, tokenize, codes, rest = self.cache, self.library.model.tokenize, self.codes, []
         for w in words:
-            if b"<|" in w:
-                self.cache[w] = self._raw(self._ids(w.decode("utf-8", "replace")))
-                continue
-            core = w.rstrip(_TAIL)
-            if core is not w and len(core) < len(w) and (core[-1:].isalnum() or core[-4:].decode("utf-8", "ignore")[-1:].isalnum()):
-                pairs.append((w, core, w[len(core):]))
+            if _LETTERS(w):
+                found = tokenize(w.decode())
+                cache[w] = codes[found[0].id] if len(found) == 1 else b"".join([codes[t.id] for t in found])
             else:
-                pairs.append((w, w, b""))
-        new = {core for _, core, _ in pairs}
-        new.update(tail for _, _, tail in pairs)
-        self._encode_parts([p for p in new if p not in known])
-        self.cache.update((w, known[core] + known[tail] if tail else known[core]) for w, core, tail in pairs)
+                rest.append(w)
+        ends = {}
+        for w in rest:  # `encode` splits off what follows ASCII only
+            core = w.rstrip(_TAIL)
+            if core and len(core) < len(w) and core[-1:] >= b"\x80" and b"<|" not in w and self._ends_a_word(core):
+                ends[w] = core, w[len(core):]
+        self._encode_parts([w for w in {*(w for w in rest if w not in ends), *(p for pair in ends.values() for p in pair)} if w not in cache])
+        for w, (core, tail) in ends.items():
+            cache[w] = cache[core] + cache[tail]
 
     def _encode_parts(self, names: list[bytes]) -> None:
-        """Ids of parts. Runs of a to z are one pre-token as they stand and go to the library's model alone."""
-        one, names = [w for w in names if _LETTERS(w)], [w for w in names if not _LETTERS(w)]
-        tokenize = self.library.model.tokenize
-        for w in one:
-            self.parts[w] = self._raw([t.id for t in tokenize(w.decode())])
+        """Words between marks in one text each 200; those with an opening of a special token on their own."""
+        alone = [w for w in names if b"<|" in w]
+        self.cache.update((w, self._raw(self._ids(w.decode("utf-8", "replace")))) for w in alone)
+        names = [w for w in names if b"<|" not in w]
         plain = [w.decode("utf-8", "replace") for w in names]
         groups = [plain[i:i + 200] for i in range(0, len(plain), 200)]
         found = self.library.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False)
@@ -103,17 +110,44 @@ class Encoder:
         for group, one in zip(groups, found, strict=True):
             ids = np.array(one.ids, np.int64)
             for part in np.split(ids, np.flatnonzero(ids == self.mark)):
-                self.parts[names[at]] = part[part != self.mark].astype(self.width).tobytes()
+                self.cache[names[at]] = part[part != self.mark].astype(self.width).tobytes()
                 at += 1
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a piece, one after the other, and how many lie before each text."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.cache})
+        opening = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        special = np.unique(np.searchsorted(edges, opening, "right") - 1)
+        lowered = data | (((data >= 65) & (data <= 90)).view(np.uint8) << 5)
+        for text in special.tolist():
+            lowered[edges[text]:edges[text + 1]] = data[edges[text]:edges[text + 1]]
+        starts, stops, before = _with_tails(lowered, *W.spans(lowered, edges))
+        _, first, which = np.unique(W.hashes(lowered, starts, stops), return_index=True, return_inverse=True)
+        whole, cache = lowered.tobytes(), self.cache
+        words = [whole[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+        new = [w for w in words if w not in cache]
         if new:
             self._learn(new)
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        raw = [cache[w] for w in words]
+        sizes = np.array([len(r) for r in raw], np.int64) // np.dtype(self.width).itemsize
+        begins = np.cumsum(sizes) - sizes
+        ids = W.gathered(np.frombuffer(b"".join(raw), self.width), begins[which], sizes[which])
+        return ids, np.concatenate(([0], np.cumsum(sizes[which])))[before]
+
+
+def _with_tails(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with the punctuation that ends them after an ASCII letter or digit as words of its own."""
+    if not len(starts):
+        return starts, stops, before
+    core = np.maximum.accumulate(np.where(_IS_TAIL[data], 0, np.arange(1, len(data) + 1)))[stops - 1]
+    split = (core < stops) & (core > starts) & _IS_WORD[data[core - 1]]
+    shift = np.cumsum(split)
+    place = np.arange(len(starts)) + shift - split
+    out_starts, out_stops = (np.empty(len(starts) + int(shift[-1]), np.int64) for _ in range(2))
+    out_starts[place], out_stops[place] = starts, np.where(split, core, stops)
+    out_starts[place[split] + 1], out_stops[place[split] + 1] = core[split], stops[split]
+    return out_starts, out_stops, before + np.concatenate(([0], shift))[before]
 
 
 @lru_cache(2)
@@ -178,16 +212,17 @@ def _encode(path: str, end: int):
                 ["part", "number", "n_ids", "payload", "docs", "copies", "sizes", "offsets"])
 
         for batch in batches:
-            for first, last, data, edges in W.pieces(batch.column(1)):
-                raw = data.tobytes()
-                found = e.encode([raw[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())])
-                for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), found, strict=True):
+            for first, last, data, edges in W.pieces(batch.column(1), PIECE):
+                ids, places = e.encode(data, edges)
+                raw, wide = ids.tobytes(), ids.itemsize
+                cuts = (places * wide).tolist()
+                for doc, begin, stop in zip(batch.column(0).slice(first, last - first).to_pylist(), cuts[:-1], cuts[1:], strict=True):
                     copy = copy + 1 if doc == before else 0
                     before = doc
                     docs.append(doc)
                     copies.append(copy)
-                    payload.append(ids + tail)
-                    sizes.append(len(payload[-1]) // np.dtype(e.width).itemsize)
+                    payload.append(raw[begin:stop] + tail)
+                    sizes.append((stop - begin) // wide + 1)
                     offsets.append(offsets[-1] + sizes[-1])
                     if offsets[-1] >= SHARD_IDS:
                         yield shard()
@@ -250,6 +285,20 @@ class Store:
         return asked.cogroup(self.index.groupBy("bucket")).applyInPandas(
             look, "doc long, copy long, part int, number int, offset long, size long")
 
+    def lookup(self, doc: int, copy: int = 0) -> np.ndarray | None:
+        """The ids of one key, or None: one bucket of the index and one shard are read, by filters that reach the files."""
+        keys = _bucket(self.spark.createDataFrame([(doc, copy)], "doc long, copy long"), self.buckets)
+        row = self.index.where(F.col("bucket") == keys.first()["bucket"]).first()
+        doc, copy = np.array([doc]), np.array([copy])
+        at = slots(list(row["levels"]), [int(x) for x in row["bits"]], doc, copy)[0] if row else -1
+        if at < 0:
+            return None
+        found = np.frombuffer(row["slots"], _SLOT)[at]
+        if found["print"] != fingerprint(doc, copy)[0]:
+            return None
+        shard = self.shards.where((F.col("part") == int(found["part"])) & (F.col("number") == int(found["number"]))).select("payload").first()
+        return np.frombuffer(shard["payload"], self.width)[found["offset"]:found["offset"] + found["size"]].astype(np.uint32)
+
     def read(self, keys: DataFrame) -> DataFrame:
         """(doc, copy, start, n_tokens, ids_crc32, ids) of the keys (doc, copy); ids are 32-bit little-endian bytes."""
         width = self.width
@@ -277,7 +326,9 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = 1, key:
     spark = documents.sparkSession
     plain = documents.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc"),
                              F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ranged = plain.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").sortWithinPartitions("doc", F.xxhash64("text"))
+    size = int(str(plain._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < 1 << 60 else 0)  # beyond: not known
+    ranged = plain.repartitionByRange(ranges, "doc").sortWithinPartitions("doc", F.xxhash64("text"))
     lists = ", ".join(f"{c} array<long>" for c in ("docs", "copies", "sizes", "offsets"))
     shards = ranged.mapInArrow(_encode(tokenizer, end), f"part int, number int, n_ids long, payload binary, {lists}")
     written = put(shards, f"{folder}/shards", compression="zstd")
@@ -287,7 +338,8 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end: int = 1, key:
     buckets = int(rows.count() // BUCKET_KEYS) + 1
     index = _bucket(rows, buckets).groupBy("bucket").applyInPandas(
         _index, "bucket int, n_keys long, levels array<binary>, bits array<long>, slots binary")
-    put(index, f"{folder}/index")
+    # Sorted by bucket, so that a filter on the bucket skips files and row groups.
+    put(index.repartitionByRange("bucket").sortWithinPartitions("bucket"), f"{folder}/index")
     put(spark.createDataFrame([(buckets, encoder(tokenizer).width)], "buckets int, width string"), f"{folder}/about")
     return Store(spark, folder)
 

@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -69,7 +71,37 @@ def test_hash_is_minimal_and_perfect(n):
     assert len(set(shards.fingerprint(doc, copy).tolist())) > 0.99 * n
 
 
+def encoded(path, texts):
+    raw = [t.encode() for t in texts]
+    ids, places = shards.encoder(path).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [ids[a:b].tolist() for a, b in zip(places, places[1:])]
+
+
+def test_random_texts_encode_as_the_library_does(path, library):
+    """Letters whose lower case has two characters, marks, both normal forms, odd spaces, openings of special tokens."""
+    rnd = random.Random(8)
+    letters = ["a", "B", "z", "é", "e\u0301", "İ", "I", "ı", "ß", "ẞ", "ﬁ", "Σ", "ς", "ǆ", "Ω", "Å", "\u0307", "\u0323", "漢", "か\u3099", "1", "²", "٣", "½",
+               "'s", "'", "’", "_", "-", "<|", "|>", "<|endoftext|>", "€", "\u200d", "😀", "\x1c", "\x85", "\u2003", "\xad"]
+    ends = [".", ",", "!", "?", ";", ":", "#", "*", "$", "%", "&", "|"]
+    texts = []
+    for _ in range(6000):
+        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 4))) + "".join(rnd.choice(ends) for _ in range(rnd.choice([0, 1, 1, 2]))) for _ in range(rnd.randint(1, 5))]
+        texts.append(rnd.choice([" ", "\n", "\t "]).join(words))
+    texts += ["SAHİBİ, ve DEĞERİ. son", unicodedata.normalize("NFD", "SAHİBİ, Ünlü. ÉÉ!")]
+    assert [(t, i) for t, i in zip(texts, encoded(path, texts)) if i != library(t)] == []
+
+
+def test_one_key_reads_one_bucket_and_one_shard(spark, odd, odd_rows, path, library, monkeypatch):
+    monkeypatch.setattr(shards, "SHARD_IDS", 50)
+    monkeypatch.setattr(shards, "BUCKET_KEYS", 2)
+    store = shards.write(odd, Workspace(spark, "test").folder, path)
+    for doc, text in ((7, odd_rows[9][1]), (12, "ab " * 200), (2, None)):
+        assert store.lookup(doc).tolist() == library(text) + [1]
+    assert store.lookup(123_456) is None and store.lookup(7, 3) is None
+    plan = store.index.where("bucket = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(bucket,1)" in plan
+
+
 def test_words_encode_as_the_whole_text(path, library):
     odd = ["Don't I'LL 12,3!", "<|endoftext|> a<|startoftext|>b", "x y z", "É é İ ẞ ﬁ", "a\x1cb \x85c", "漢字 かな", "_a__b", "", "It's, 'S. don't! x”, ”. É. é!? ½. A#1#. a| <|x|>. ... .a. 漢。. ̈. İ. KK.", "​ ﻿"]
-    e = shards.encoder(path)
-    assert [np.frombuffer(b, e.width).tolist() for b in e.encode([t.encode() for t in odd])] == [library(t) for t in odd]
+    assert encoded(path, odd) == [library(t) for t in odd]
