@@ -10,7 +10,8 @@ look at the words around it and loses nothing. The score is the best alignment's
 edited and partly quoted copies score by what is left.
 
 The seeds of a slice of the benchmark go to the tasks; a slice has `SLICE` seeds at most, and a larger benchmark is
-searched in several slices. Items of more than `PART` words are aligned in parts of that length; the best part counts.
+searched in several slices. An item of more than `PART` words is found by any passage of it that long: it is aligned in
+parts of that length, the last of which reaches back into the one before, so that none is shorter; the best part counts.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class Seeds:
         for first, h, at in word_hashes(pa.array([t for _, t in rows], pa.string())):
             for i in range(len(at) - 1):
                 whole = h[at[i]:at[i + 1]]
-                for low in range(0, max(1, len(whole) - SEED + 1), PART):
+                for low in [*range(0, len(whole) - PART, PART), max(0, len(whole) - PART)]:
                     ids.append(rows[first + i][0])
                     words.append(whole[low:low + PART])
         runs = [W.windows(w, SEED) for w in words]
@@ -212,7 +213,7 @@ def contaminated(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
     def build(work: Workspace) -> DataFrame:
         out = None
         for part in range(slices):
-            rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).collect()
+            rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == part).distinct().collect()
             seeds = Seeds.of(sorted({(r["item_id"], r["text"]) for r in rows}, key=str))
             held = spark.sparkContext.broadcast(seeds)
             found = work.keep(plain.mapInArrow(_aligned(held, least), "doc_id long, item_id long, score double, end_word long"), "found")

@@ -83,6 +83,17 @@ def test_long_items_go_in_parts(spark, monkeypatch):
     assert set(got) == {(1, 5)} and got[1, 5] == 1
 
 
+@pytest.mark.parametrize("n", [399, 400, 401, 402, 403, 405, 799, 801, 1300])
+def test_no_remainder_of_a_long_item_counts(spark, n):
+    """The last words alone are a small share of an item of any length; half of its last 400 words are enough."""
+    words = [f"q{i}" for i in range(n)]
+    least = min(n, 400) // 2
+    docs = [(1, "a b " + " ".join(words[-3:]) + " c"), (2, " ".join(words[-5:])), (3, "x " + " ".join(words[-least - 1:])), (4, " ".join(words)),
+            (5, " ".join(words[-least + 5:]) + " y")]
+    got = found(benchmark.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")))
+    assert set(got) == {(3, 5), (4, 5)} and got[4, 5] == 1
+
+
 def test_align_many_at_once():
     rnd = np.random.default_rng(4)
     items = [rnd.integers(0, 6, n).astype(np.uint64) for n in (3, 9, 14, 30)]
