@@ -184,6 +184,7 @@ SQL = {
         SELECT pr_number, round(CAST(value AS DOUBLE) * (spend * 1.25) / est, 4) AS scaled FROM pr JOIN s USING ({BY}) JOIN q USING ({BY})""",
     "upsert_predictions": """SELECT invoice_line_id, true_category_secondary, CASE WHEN line_number <= 2 THEN '1' ELSE '2' END AS model_version FROM inv
         UNION ALL SELECT 'new-' || invoice_line_id, true_category_secondary, '2' FROM inv WHERE line_number <= 2""",
+    "upsert_in_place": """SELECT invoice_line_id, true_category_secondary, CASE WHEN invoice_id % 100 = 0 THEN '2' ELSE '1' END AS model_version FROM inv""",
     "hash_sample": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100",
     "stream_ingest_events": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2""",

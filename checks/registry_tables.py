@@ -250,6 +250,20 @@ def _upsert(retail: Retail) -> DataFrame:
     return merged(target, source, ["invoice_line_id"])
 
 
+@query("upsert_in_place")
+def _upsert_in_place(retail: Retail) -> DataFrame:
+    """The same through a stored table in buckets: only lines of every hundredth order change, all lines are read back."""
+    from ledgerloom.session import scratch
+    from ledgerloom.sinks.tables import Store
+
+    lines = retail.lake().pick("invoice_ap", "invoice_line_id", "invoice_id", "true_category_secondary")
+    columns = ["invoice_line_id", "true_category_secondary", "model_version"]
+    store = Store(retail.spark, scratch(retail.spark, "published"))
+    store.create_bucketed("predictions", lines.withColumn("model_version", F.lit("1")).select(*columns), ["invoice_line_id"])
+    changed = lines.where(F.col("invoice_id").cast("bigint") % 100 == 0).withColumn("model_version", F.lit("2"))
+    return store.upsert("predictions", changed.select(*columns), ["invoice_line_id"])
+
+
 @query("hash_sample")
 def _sample(retail: Retail) -> DataFrame:
     return sample_rows(retail.read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)

@@ -73,7 +73,7 @@ def derive(spark: SparkSession, root: str, anchors: DataFrame, macro: DataFrame
     """Silver and gold from bronze, each table written and then read back by the next ones."""
     silver_store, gold_store, ml_store = (Store(spark, f"{root}/{part}") for part in ("silver", "gold", "ml"))
     lake = Lake({**bronze_tables(spark, root),
-                 "invoice_classifications": ml_store.create_empty("invoice_classifications", CLASSIFICATIONS),
+                 "invoice_classifications": predictions_table(ml_store),
                  "dim_period_anchors": anchors, "dim_segment": gold.dim_segment(spark),
                  "dim_spend_category": gold.dim_spend_category(spark), "dim_date": gold.dim_date(spark)})
     if macro is not None:
@@ -106,6 +106,14 @@ def build(spark: SparkSession, landing: str, root: str, anchors: DataFrame, full
     return lake
 
 
+def predictions_table(store: Store) -> DataFrame:
+    """The published predictions; an empty table in buckets of its key if there is none yet."""
+    if store.current("invoice_classifications") is None:
+        empty = store.spark.createDataFrame([], CLASSIFICATIONS)
+        return store.create_bucketed("invoice_classifications", empty, ["invoice_line_id"])
+    return store.read("invoice_classifications")
+
+
 def publish_predictions(spark: SparkSession, root: str, predictions: DataFrame) -> DataFrame:
     """Upsert scored lines; the next derive shows them on the fact."""
     return Store(spark, f"{root}/ml").upsert("invoice_classifications", predictions, ["invoice_line_id"])

@@ -2,14 +2,24 @@
 
 Every overwrite writes a new version folder. Spark's own _SUCCESS (or our marker for a stream)
 commits it; readers take the newest committed version. One writer per table at a time.
+
+A table made with `create_bucketed` is split by a hash of its key. An upsert rewrites, inside the current version, only
+the buckets that the source has keys of; files of all others stay as they are.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.lake import settled
+
+BUCKET = "_bucket"
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -44,6 +54,12 @@ class Store:
         path = self.current(name)
         if path is None:
             raise FileNotFoundError(f"no table {name} below {self.root}")
+        return self._stored(name, path, merge_schema).drop(BUCKET)
+
+    def _stored(self, name: str, path: str, merge_schema: bool = False) -> DataFrame:
+        facts = self._buckets(name)
+        if facts and not merge_schema:  # a table in buckets has no file while it is empty
+            return self.spark.read.schema(facts["schema"]).parquet(path)
         return self.spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
 
     def overwrite(self, name: str, df: DataFrame, partition_by: list[str] = ()) -> DataFrame:
@@ -66,9 +82,47 @@ class Store:
             return self.overwrite(name, self.spark.createDataFrame([], schema))
         return self.read(name)
 
+    def create_bucketed(self, name: str, df: DataFrame, key: list[str], buckets: int = 64) -> DataFrame:
+        """Write a table whose upserts on `key` rewrite only the buckets they touch."""
+        rows = df.withColumn(BUCKET, _bucket(key, buckets))
+        facts = self.spark.createDataFrame([(list(key), buckets, rows.schema.json())], "key array<string>, buckets int, schema string")
+        facts.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/_buckets")
+        self._write_buckets(rows, self.next_path(name))
+        return self.read(name)
+
+    def _buckets(self, name: str) -> dict | None:
+        path = f"{self.root}/{name}/_buckets"
+        if not self._fs(path).exists(self._path(path)):
+            return None
+        facts = self.spark.read.parquet(path).first()
+        return {"key": facts["key"], "buckets": facts["buckets"], "schema": StructType.fromJson(json.loads(facts["schema"]))}
+
+    def _write_buckets(self, rows: DataFrame, path: str) -> None:
+        """Replace the buckets that `rows` has, and no others; one shuffle gathers each in files of even size."""
+        rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+        self.publish(path)  # Spark marks no folder that it overwrites in part
+
     def upsert(self, name: str, source: DataFrame, key: list[str]) -> DataFrame:
-        """Matched keys take the source row, new keys are inserted."""
-        return self.overwrite(name, merged(self.read(name), source, key))
+        """Matched keys take the source row, new keys are inserted. The source is evaluated once.
+
+        A bucketed table must be upserted on its own key. Its touched buckets are merged into a copy first, so a run
+        that was broken off can be repeated: the same source gives the same table.
+        """
+        source = settled(source, "upsert")
+        check_unique(source, key)
+        facts = self._buckets(name)
+        if facts is None:
+            return self.overwrite(name, merged(self.read(name), source, key, checked=True))
+        if list(key) != facts["key"]:
+            raise ValueError(f"{name} is bucketed by {facts['key']}, not by {list(key)}")
+        path, bucket = self.current(name), _bucket(facts["key"], facts["buckets"])
+        touched = [r[0] for r in source.select(bucket.alias(BUCKET)).distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return self.read(name)
+        target = self._stored(name, path).where(F.col(BUCKET).isin(touched))
+        rows = settled(merged(target.drop(BUCKET), source, key, checked=True).withColumn(BUCKET, bucket), "merged")
+        self._write_buckets(rows, path)
+        return self.read(name)
 
     def drop_old(self, name: str, keep: int = 2) -> None:
         for version in self._versions(name, committed=True)[:-keep]:
@@ -76,6 +130,10 @@ class Store:
             self._fs(path).delete(self._path(path), True)
 
 
+def _bucket(key: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int")
+
+
 def check_unique(df: DataFrame, key: list[str]) -> None:
     """A key matched twice would make the outcome of a merge depend on row order."""
     repeated = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
@@ -86,7 +144,9 @@ def check_unique(df: DataFrame, key: list[str]) -> None:
 def merged(target: DataFrame, source: DataFrame, key: list[str], checked: bool = False) -> DataFrame:
     if not checked:
         check_unique(source, key)
-    kept = target.join(source.select(*key), key, "left_anti")
+    keys = source.select(*[F.col(k).alias(f"_r_{k}") for k in key])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key])
+    kept = target.join(keys, same, "left_anti")  # a NULL key is a key, so that repeating a merge changes nothing
     return kept.select(*target.columns).unionByName(source.select(*target.columns))
 
 

@@ -145,6 +145,35 @@ def test_store_versions_upsert_and_append(spark, tmp_path):
     assert store.read("t").count() == 4
 
 
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.create_bucketed("t", spark.createDataFrame([(i, "old") for i in range(200)], "k bigint, v string"), ["k"], buckets=16)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "_bucket=" in str(p)}
+    before = files()
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    source = spark.createDataFrame([(3, "new"), (500, "new"), (None, "none")], "k bigint, v string").mapInArrow(counted, "k bigint, v string")
+    got = {r["k"]: r["v"] for r in store.upsert("t", source, ["k"]).collect()}
+    calls_once = calls.value
+    assert got == {**{i: "old" for i in range(200)}, 3: "new", 500: "new", None: "none"} and calls_once == 3
+    after = files()
+    folder = lambda path: path.rsplit("/", 1)[0]
+    touched = {folder(p) for p in after.keys() - before.keys()}
+    assert 1 <= len(touched) <= 3 and all(after[p] == t for p, t in before.items() if folder(p) not in touched)
+    assert store.upsert("t", source, ["k"]).where("k is null").count() == 1  # repeating it changes nothing
+    assert store.upsert("t", source.limit(0), ["k"]).count() == 202
+    empty = store.create_bucketed("e", source.limit(0), ["k"])
+    assert empty.collect() == [] and store.upsert("e", source, ["k"]).count() == 3
+    with pytest.raises(ValueError, match="bucketed by"):
+        store.upsert("t", source.limit(1), ["v"])
+    with pytest.raises(ValueError, match="duplicate keys"):
+        store.upsert("t", source.union(source), ["k"])
+
+
 def test_streamed_events_equal_batch(spark, tmp_path):
     from ledgerloom.streaming.ingest import ingest_folder
 
