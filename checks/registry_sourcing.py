@@ -109,7 +109,7 @@ def _heads(retail: Retail) -> DataFrame:
     snap = retail.lake()["fact_emp_quarterly_cost"].select(*GROUP, F.col("headcount").alias("actual"))
     before = snap.select("fiscal_year", (F.col("fiscal_quarter") + 1).alias("fiscal_quarter"), "segment_code",
                          F.col("actual").alias("target"))
-    return gates.compare_totals("headcount", snap, before, GROUP, "actual", "target", 0.10, warn_only=True)
+    return gates.compare_totals("headcount", snap, before, GROUP, "actual", "target", 0.10, warn_only=True, surplus=False)
 
 
 @query("planning_gate")

@@ -49,10 +49,11 @@ def _report(df: DataFrame, gate: str, key: Column, actual, target, tolerance: fl
 
 
 def compare_totals(gate: str, actuals: DataFrame, targets: DataFrame, keys: list[str], actual: str, target: str,
-                   tolerance: float = fixed.HARD_TOLERANCE, warn_only: bool = False) -> DataFrame:
-    """Totals against targets; a target without any data counts as actual 0."""
-    joined = targets.select(*keys, target).join(actuals.select(*keys, actual), keys, "left")
-    joined = joined.withColumn(actual, F.coalesce(actual, F.lit(0)))
+                   tolerance: float = fixed.HARD_TOLERANCE, warn_only: bool = False, surplus: bool = True) -> DataFrame:
+    """Totals against targets. A target without any data counts as actual 0, and a total without a target as target 0,
+    so that what nobody planned is reported; without `surplus` such totals are left out."""
+    joined = targets.select(*keys, target).join(actuals.select(*keys, actual), keys, "full" if surplus else "left")
+    joined = joined.withColumns({actual: F.coalesce(actual, F.lit(0)), target: F.coalesce(target, F.lit(0))})
     return _report(joined, gate, key_text(keys), actual, target, tolerance, warn_only)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as fixed
 from ledgerloom.functions import rules as R
 from ledgerloom.lake import Lake, settled
+from ledgerloom.operators.sweep import sums_within, under_cover
 from ledgerloom.operators.keyed import null_safe_join, one_per_key, top_k, with_total
 from ledgerloom.plans.legal import today, without_contract
 
@@ -124,16 +125,14 @@ def sourcing_strategy(lake: Lake, hint_tier: str = LEAF) -> DataFrame:
 def contract_burn_down(lake: Lake, as_of=None, kinds: tuple[str, ...] = ("SOW", "PRICING_AGREEMENT")) -> DataFrame:
     """Spend of the supplier since the contract began against its commitment, for active contracts.
 
-    Spend is summed per supplier and day before it meets the contracts, so the date condition is
-    tested on days rather than lines.
+    Spend is summed per supplier and day; days and contracts then meet in one sweep, without a row per day and contract.
     """
     active = lake["contract_inbound"].where((F.col("status") == "Active") & F.col("contract_type").isin(*kinds))
     daily = lake.pick("fact_invoices", "supplier_id", "invoice_date", "amount") \
         .groupBy("supplier_id", "invoice_date").agg(F.sum("amount").alias("spend"))
-    inside = F.col("invoice_date").between(F.col("effective_date"), F.least("expiration_date", today(as_of)))
-    spent = active.select("contract_workspace_id", "supplier_id", "effective_date", "expiration_date") \
-        .join(daily, "supplier_id").where(inside) \
-        .groupBy("contract_workspace_id").agg(F.sum("spend").alias("_spent"))
+    terms = active.select("contract_workspace_id", "supplier_id", "effective_date", F.least("expiration_date", today(as_of)).alias("_until"))
+    spent = sums_within(terms.where(F.col("supplier_id").isNotNull()), daily.where(F.col("supplier_id").isNotNull()),
+                        "supplier_id", "contract_workspace_id", "effective_date", "_until", "invoice_date", "spend", "_spent")
     joined = active.join(spent, "contract_workspace_id", "left")
     used = F.coalesce("_spent", F.lit(0)).cast("decimal(28,2)")
     return joined.select(
@@ -163,18 +162,17 @@ def renewal_queue(lake: Lake, as_of=None, days: int = 180) -> DataFrame:
 def contract_leakage(lake: Lake) -> DataFrame:
     """Lines of a supplier that has an active contract, but dated outside all of its contracts.
 
-    The days of contract cover are compared per supplier and day, so a busy supplier contributes
-    one row per day. A day is covered if any contract covers it.
+    A busy supplier contributes one row per day and segment. A day is covered if any contract covers it: contracts
+    begin and end in the same stream as the days, and the number of open ones says so.
     """
     active = lake["contract_inbound"].where(F.col("status") == "Active")
     contracts = active.select("contract_workspace_id", "supplier_id", "effective_date", "expiration_date")
     daily = lake.pick("fact_invoices", "supplier_id", "invoice_date", "segment_code", "amount") \
         .groupBy("supplier_id", "segment_code", "invoice_date").agg(
             F.count("*").alias("lines"), F.sum("amount").alias("amount"))
-    inside = F.col("invoice_date").between(F.col("effective_date"), F.col("expiration_date"))
-    status = daily.join(contracts, "supplier_id").groupBy("supplier_id", "segment_code", "invoice_date").agg(
-        F.max(inside).alias("_covered"), F.first("lines").alias("lines"), F.first("amount").alias("amount"))
-    return status.where(~F.coalesce("_covered", F.lit(False))).groupBy("segment_code", "supplier_id").agg(
+    known = daily.join(contracts.select("supplier_id").distinct(), "supplier_id", "left_semi")
+    status = under_cover(known, contracts, "supplier_id", "effective_date", "expiration_date", "invoice_date", "_covered")
+    return status.where(~F.col("_covered")).groupBy("segment_code", "supplier_id").agg(
         F.sum("lines").alias("leaked_lines"), R.exact_sum("amount").alias("leaked_amount"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import allocate, keyed, series
 from ledgerloom.operators.history import scd2, snapshot
 from ledgerloom.operators.ordered import along, cut, numbered
+from ledgerloom.operators.sweep import sums_within, under_cover
 from ledgerloom.operators.resolve import resolve_suppliers
 
 
@@ -58,6 +59,32 @@ def test_versions_of_a_key_whose_changes_share_an_instant(spark, rows):
     assert rows(got) == rows(scd2(changes, "id", "at", ["s"], "n", F.lit(0)))
 
 
+def test_sweep_by_hand(spark):
+    """A thousand intervals and most days on one key; open, empty and reversed intervals; days without a date."""
+    rnd = random.Random(2)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    spans = [(i, "big" if i < 1000 else f"k{i % 3}", day(a := rnd.randrange(400)), day(a + rnd.randint(-3, 60))) for i in range(1100)]
+    spans += [(2000, "big", None, day(5)), (2001, "big", day(5), None), (2002, "none", day(0), day(9))]
+    points = [("big" if i % 5 else f"k{i % 4}", None if i % 50 == 0 else day(rnd.randrange(-20, 480)), Decimal(rnd.randint(1, 99))) for i in range(1500)]
+    intervals = spark.createDataFrame(spans, "id int, k string, a date, b date").repartition(3)
+    days = spark.createDataFrame(points, "k string, d date, v decimal(10,0)").repartition(4)
+    got = {r.id: r.s for r in sums_within(intervals, days, "k", "id", "a", "b", "d", "v", "s", rows=100).collect()}
+    want = {i: sum(v for p, d, v in points if p == k and d and a <= d <= b) for i, k, a, b in spans if a and b and a <= b}
+    assert got == want
+    flags = sorted(map(str, map(tuple, under_cover(days, intervals, "k", "a", "b", "d", "c", rows=100).collect())))
+    inside = lambda k, d: bool(d) and any(o == k and a and b and a <= d <= b for _, o, a, b in spans)
+    assert flags == sorted(str((k, d, v, inside(k, d))) for k, d, v in points)
+
+
+def test_totals_without_a_target_are_reported(spark):
+    from ledgerloom import gates
+    targets = spark.createDataFrame([("a", 100), ("b", 50)], "k string, t int")
+    actuals = spark.createDataFrame([("a", 100), ("c", 70)], "k string, n int")
+    got = {r.key: (r.actual, r.target, r.level) for r in gates.compare_totals("g", actuals, targets, ["k"], "n", "t").collect()}
+    assert got == {"a": (100, 100, "ok"), "b": (0, 50, "breach"), "c": (70, 0, "breach")}
+    assert gates.compare_totals("g", actuals, targets, ["k"], "n", "t", surplus=False).count() == 2
+
+
 def test_one_per_key_and_most_common(spark, rows):
     df = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("b", 1, None), (None, 5, "n")], "k string, o int, v string")
     first = keyed.one_per_key(df, ["k"], [F.col("v").isNull(), F.col("o")])
