@@ -3,7 +3,8 @@
 *Grow.* Level by level, a path segment becomes `*` where it is a number, or where its place in the tree has many
 different segments for the pages it has; other segments stay. Below `DEPTH` segments the rest becomes `**`.
 *Merge.* Templates of a host that differ in their last fixed segment only are siblings. A sibling whose share of good
-labels is not significantly different from that of the others together is merged with the rest of that kind.
+labels is not significantly different from that of the others together is merged with the rest of that kind; one
+without labels stays by itself, so that its host alone speaks for it.
 *Judge.* A template's purity is its share of good labels, smoothed by that of its host, which is smoothed by that of
 the whole table. Templates below `PURE` are rejected.
 
@@ -85,7 +86,8 @@ def judged(counted: DataFrame, overall: float) -> DataFrame:
     gap = F.abs(F.col("good") / own - (F.col("fg") - F.col("good")) / others)
     apart = (own > 0) & (others > 0) & (gap > APART * F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / others)))
     rows = rows.join(family, "family").withColumn("apart", F.coalesce(F.when((own > 0) & (others > 0), apart), F.lit(False)))
-    rows = rows.withColumn("group", F.when(F.col("apart") | (F.col("siblings") == 1), F.concat("host", "template")).otherwise(F.col("family")))
+    # A template without labels is like no other by any evidence: it is judged by its host alone.
+    rows = rows.withColumn("group", F.when(F.col("apart") | (F.col("siblings") == 1) | (own == 0), F.concat("host", "template")).otherwise(F.col("family")))
     merged = rows.groupBy("group").agg(F.sum("good").alias("gg"), F.sum("bad").alias("gb"))
     site = (F.col("hg") + WEIGHT * overall) / (F.col("hg") + F.col("hb") + WEIGHT)
     purity = (F.col("gg") + WEIGHT * site) / (F.col("gg") + F.col("gb") + WEIGHT)

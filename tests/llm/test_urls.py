@@ -68,6 +68,15 @@ def test_similar_siblings_are_merged(spark):
     assert len(found) == 1
 
 
+def test_siblings_without_labels_inherit_no_rejection(spark):
+    rows = [(i, f"http://a.org/news/{i}/x") for i in range(100)] + [(100 + i, f"http://a.org/casino/{i}") for i in range(40)]
+    rows += [(200 + i, f"http://a.org/recipes/{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(140)], "page_id long, good int")
+    found = {r["page_id"]: r for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert found[100]["verdict"] == "block" and found[200]["verdict"] == "allow" and found[0]["verdict"] == "allow"
+    assert found[200]["purity"] == pytest.approx((100 + 4 * 100 / 140) / 144)
+
+
 def test_labels_come_from_the_document_in_the_path(spark):
     pages = spark.createDataFrame([(1, "http://a.b/en/7?x"), (2, "http://a.b/en/8.html"), (3, "http://a.b/en/x9"), (4, None)], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
