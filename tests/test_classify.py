@@ -22,7 +22,7 @@ def labelled(spark):
     return df, taxonomy
 
 
-SMALL = boost.Settings(rounds=4, depth=4, rate=0.5, least_rows=1)
+SMALL = boost.Settings(rounds=2, depth=4, rate=0.5, least_rows=1)
 
 
 @pytest.mark.parametrize("linear", [False, True])
@@ -146,7 +146,7 @@ def test_trees_beat_regression_where_columns_interact(spark):
     taxonomy = spark.createDataFrame([("P", "odd"), ("P", "even")], "primary_code string, secondary_code string")
     right = {}
     for linear in (False, True):
-        model = M.fit(df, taxonomy, M.Settings(trees=boost.Settings(rounds=5, depth=3, rate=0.5), linear=linear), [], ["a", "b"], text=None)
+        model = M.fit(df, taxonomy, M.Settings(trees=boost.Settings(rounds=2, depth=3, rate=0.5), linear=linear), [], ["a", "b"], text=None)
         right[linear] = M.score(df, model, "1").join(df, X.KEY).where("predicted_secondary_category = label").count()
     assert right[False] == 1000 and right[True] < 800
 
