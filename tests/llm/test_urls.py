@@ -81,3 +81,58 @@ def test_labels_come_from_the_document_in_the_path(spark):
     pages = spark.createDataFrame([(1, "http://a.b/en/7?x"), (2, "http://a.b/en/8.html"), (3, "http://a.b/en/x9"), (4, None)], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, urls.document_labels(pages, labels).collect())) == [(1, 1), (2, 0)]
+
+
+def site(spark, users, pages, repeats=1):
+    rows, marks = [], []
+    for u in range(users):
+        for n in range(pages):
+            i = (u * pages + n) * 2
+            rows += [(i, f"http://a.org/u{u}x/casino/{n}")] * repeats + [(i + 1, f"http://a.org/u{u}x/blog/{n}")] * repeats
+            if n == 0:
+                marks += [(i, 0), (i + 1, 1)]
+    found = urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, good int"))
+    return {tuple(r) for r in found.select("template", "verdict", "purity").distinct().collect()}
+
+
+def test_a_growing_site_keeps_its_templates(spark):
+    small = site(spark, 200, 2)
+    assert {t[:2] for t in small} == {("/*/casino/*", "block"), ("/*/blog/*", "allow")}
+    assert site(spark, 200, 20) == small and site(spark, 200, 2, repeats=10) == small
+
+
+def test_deep_paths_have_their_own_templates(spark):
+    deep = "http://a.org/" + "/".join("abcdefgh") + "/k" * 40
+    rows = [(i, f"{deep}/{'good' if i % 2 else 'bad'}/page{i}/x") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "page_id long, good int")
+    found = {r["page_id"]: r for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert found[51]["verdict"] == "allow" and found[50]["verdict"] == "block"
+    assert found[50]["template"].endswith("/k/bad/*/x")
+
+
+def test_exceptional_segments_keep_their_names(spark):
+    rows, marks = [], []
+    for u in range(50):
+        for n in range(12):
+            rows.append((u * 100 + n, f"http://a.org/shop{u}/{n}"))
+            marks.append((u * 100 + n, int(u != 7)))
+    found = {r["page_id"]: r for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"),
+                                                    spark.createDataFrame(marks, "page_id long, good int")).collect()}
+    assert (found[700]["template"], found[700]["verdict"]) == ("/shop7/*", "block")
+    assert (found[800]["template"], found[800]["verdict"]) == ("/*/*", "allow")
+
+
+def test_siblings_meet_at_any_segment(spark):
+    """Three regions of one site: single labels say little, those of a topic over all regions do."""
+    rows, marks = [], []
+    for r in "pqr":
+        for t, good in (("casino", 0), ("news", 1)):
+            for n in range(8):
+                rows.append((len(rows), f"http://a.org/{r}/{t}/{n}"))
+                if n < 4:
+                    marks.append((len(rows) - 1, good))
+    found = urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, good int"))
+    purity = {tuple(r) for r in found.select("template", "purity").distinct().collect()}
+    assert {t for t, _ in purity} == {f"/{r}/{t}/*" for r in "pqr" for t in ("casino", "news")}
+    # By hand: 12 labels of a topic pooled, and a host that is half good.
+    assert all(p == pytest.approx((4 * 0.5) / 16 if "casino" in t else (12 + 4 * 0.5) / 16) for t, p in purity)
