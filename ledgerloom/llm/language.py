@@ -185,20 +185,20 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 12,
 
 
 def fit(documents: DataFrame, rows: int = 2000, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """Train on about `rows` labelled documents, spread evenly over the languages, drawn by a hash of the id.
+    """Train on about `rows` labelled documents, spread evenly over the languages, drawn by a hash of id, label and text.
 
-    Only documents whose crc32(id as text) mod 5 is not 0 and whose label is not null take part.
+    Rows that repeat one another are drawn once, so neither an id nor a text with many rows enlarges the sample. Only documents whose crc32(id as text) mod 5 is not 0 and whose label is not null take part.
     """
     learned = documents.where(~held_out(key) & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(label).cast("string").alias("_label"))
     sizes = learned.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
     languages = sizes.count()
-    draw = F.pmod(F.xxhash64("_key", "_label"), F.lit(1_000_003)) / 1_000_003
+    draw = F.pmod(F.xxhash64("_key", "_label", "_text"), F.lit(1_000_003)) / 1_000_003
     picked = learned.join(F.broadcast(sizes) if languages < 10_000 else sizes, "_label").where(
-        draw * F.col("_n") < rows / max(languages, 1)).select("_text", "_label")
+        draw * F.col("_n") < rows / max(languages, 1)).select("_key", "_text", "_label")
     # Long ones are cut where they are read: a stretch from their middle, so that the driver gets a bounded sample.
     middle = F.substring("_text", F.greatest((F.length("_text") / 2).cast("int") - 3000, F.lit(1)), F.lit(6000))
-    cut = picked.select(middle.alias("_text"), "_label")
+    cut = picked.select("_key", middle.alias("_text"), "_label").distinct()
     found = sorted((r["_label"], r["_text"]) for r in cut.collect())
     return train([t for _, t in found], [v for v, _ in found])
 

@@ -217,7 +217,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 2000, letters: int
         label: str = "quality") -> Model:
     """Train on about `rows` labelled documents, half of them good, drawn by a hash of the id.
 
-    Their ids, whose number is so bounded, go to the tasks that read the texts; no text is shuffled.
+    Their ids, whose number is so bounded, go to the tasks that read the texts; of texts only the drawn stretches are
+    shuffled. Of an id with several rows one text is learned from, that with the least hash.
 
     Of a longer text a stretch of `letters` characters from its middle is learned from. Without both labels the model
     takes every line for content.
@@ -231,7 +232,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 2000, letters: int
     middle = F.substring(text, F.greatest((F.length(text) / 2).cast("int") - letters // 2, F.lit(1)), F.lit(letters))
     texts = documents.select(key, text).where(F.col(text).isNotNull())
     chosen = documents.sparkSession.createDataFrame(picked.select(key, "_good").collect(), picked.select(key, "_good").schema)
-    found = sorted((r["t"], r["_good"] > 0) for r in texts.join(F.broadcast(chosen), key).select(middle.alias("t"), "_good").collect())
+    drawn = texts.join(F.broadcast(chosen), key).groupBy(key, "_good").agg(F.min_by(middle, F.xxhash64(text)).alias("t"))
+    found = sorted((r["t"], r["_good"] > 0) for r in drawn.collect())
     data = [t.encode() for t, _ in found]
     edges = np.cumsum([0, *map(len, data)])
     _, lines = measured(np.frombuffer(b"".join(data), np.uint8), edges)

@@ -84,3 +84,15 @@ def test_nothing_is_accepted_if_no_cut_is_accurate_enough():
     rnd = np.random.default_rng(4)
     texts = [" ".join("".join(rnd.choice(list("klm"), 5)) for _ in range(30)) for _ in range(100)]
     assert language.train(texts, ["x", "y"] * 50, accuracy=1.01).threshold > 1
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """Half of the rows are one row, a quarter share an id: neither is drawn whole."""
+    from pyspark.sql import functions as F
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 4 == 3, F.col("id")).otherwise(F.lit(7)).alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, "the same words").otherwise(F.concat(F.lit("words "), F.col("id"))).alias("text"), F.lit("en").alias("lang"))
+    taken = []
+    monkeypatch.setattr(language, "train", lambda texts, labels: taken.append(texts))
+    language.fit(rows, rows=1000)
+    assert 200 < len(taken[0]) < 1500 and taken[0].count("the same words") <= 1

@@ -88,3 +88,13 @@ def test_training_separates_kinds_of_lines():
     mixed = "\n".join([prose(), prose(), junk(), junk(), junk(), prose(), prose()]).encode()
     _, lines = quality.measured(np.frombuffer(mixed, np.uint8), np.array([0, len(mixed)]))
     assert quality.decode(model, lines).tolist() == [True, True, False, False, False, True, True]
+
+
+def test_an_id_with_many_rows_gives_one_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("words "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(0, 1)] + [(i, i % 2) for i in range(3000, 4000)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda lines, good: seen.append(len(good)))
+    quality.fit(docs, labels, rows=4000)
+    assert seen == [1001]
