@@ -50,6 +50,19 @@ LEVELS = """f AS (SELECT invoice_line_id, inv.supplier_id, segment_code, inv.pay
   seen AS (SELECT "column", "value", count(*) AS rows, count(*) < 50 AS rare FROM pairs GROUP BY ALL),
   numbered AS (SELECT "column", "value", rows, CAST(dense_rank() OVER (ORDER BY "column", rare, CASE WHEN NOT rare THEN "value" END) - 1 AS INT) AS "index" FROM seen)"""
 
+# Names delivered in three runs, the last of which also renames some keys of the first. A spelling is numbered by its first
+# run and the smallest key in it; two are linked from the run on that has both, if they are one edit apart, both lose a
+# character to the same text, or a key has had both.
+ENTITIES = """WITH RECURSIVE p AS (SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g') AS b, p_name || ' brand' AS t, p_partkey % 3 + 1 AS run, false AS again FROM part
+            UNION ALL SELECT p_partkey, regexp_replace(p_brand, '[^0-9]', '', 'g'), 'cold ' || split_part(p_name, ' ', 2) || ' brand', 3, true FROM part WHERE p_partkey % 30 = 0),
+          n AS (SELECT b, t, min(run * 1000000000 + p_partkey) AS node FROM p GROUP BY 1, 2),
+          f AS (SELECT node, b || '|' || t AS form, node // 1000000000 AS run FROM n
+            UNION SELECT node, b || '|' || substr(t, 1, i - 1) || substr(t, i + 1), node // 1000000000 FROM (SELECT *, CAST(unnest(range(1, length(t) + 1)) AS INT) AS i FROM n)
+            UNION SELECT node, 'key ' || p_partkey, run FROM p JOIN n USING (b, t)),
+          e AS (SELECT DISTINCT g, x.node AS u, y.node AS v FROM f x JOIN f y USING (form) JOIN range(1, 4) AS runs(g) ON greatest(x.run, y.run) <= g),
+          r AS (SELECT g, u, v FROM e UNION SELECT r.g, r.u, e.v FROM r JOIN e ON r.v = e.u AND r.g = e.g),
+          c AS (SELECT g, u, min(v) AS root FROM r GROUP BY 1, 2)"""
+
 SQL = {
     "reconcile_spend": f"""WITH q AS (SELECT {G}, sum(amount) AS a FROM inv GROUP BY ALL),
           t AS (SELECT *, CAST(round(CAST(a AS DOUBLE) * (1 + CAST((fiscal_year * 10 + fiscal_quarter) % 7 - 3 AS DOUBLE) / 100) / 1e6, 4)
@@ -230,4 +243,11 @@ SQL = {
           r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
           c AS (SELECT u, min(v) AS root FROM r GROUP BY 1)
         SELECT p_partkey AS supplier_id, root AS canonical_supplier_id FROM p JOIN n USING (b, t) JOIN c ON c.u = n.node""",
+    "entity_merges": f"""{ENTITIES}
+        SELECT DISTINCT CAST(y.g AS INT) AS run, CAST(x.root // 1000000000 AS INT) AS since, CAST(x.root % 1000000000 AS VARCHAR) AS entity_id,
+          CAST(y.root % 1000000000 AS VARCHAR) AS into_id FROM c x JOIN c y ON x.u = y.u AND x.g + 1 = y.g WHERE x.root <> y.root AND x.u = x.root""",
+    "dim_supplier_resolved": f"""{ENTITIES}
+        SELECT CAST(p_partkey AS VARCHAR) AS supplier_id, p_name || ' ' || p_brand AS supplier_name,
+          CAST(root % 1000000000 AS VARCHAR) AS canonical_supplier_id, substr(sha256(CAST(root % 1000000000 AS VARCHAR)), 1, 16) AS entity_resolution_cluster_id
+        FROM p JOIN part USING (p_partkey) JOIN n USING (b, t) JOIN c ON c.u = n.node AND c.g = 3 WHERE NOT again""",
 }

@@ -186,6 +186,8 @@ SQL = {
         UNION ALL SELECT 'new-' || invoice_line_id, true_category_secondary, '2' FROM inv WHERE line_number <= 2""",
     "upsert_in_place": """SELECT invoice_line_id, true_category_secondary, CASE WHEN invoice_id % 100 = 0 THEN '2' ELSE '1' END AS model_version FROM inv""",
     "hash_sample": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100",
+    "large_hash_sample": """SELECT l_orderkey, count(*) AS lines FROM (SELECT l_orderkey FROM lineitem
+          ORDER BY md5(CAST(l_orderkey AS VARCHAR)), l_orderkey LIMIT (SELECT count(*) * 2 // 3 FROM lineitem)) GROUP BY 1""",
     "stream_ingest_events": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2""",
     "secondary_categories": "SELECT p_partkey, unnest([p_type, p_brand]) AS code FROM part",

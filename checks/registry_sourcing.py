@@ -15,7 +15,7 @@ from ledgerloom.classify import model as M
 from ledgerloom.functions import rules as R
 from ledgerloom.lake import settled
 from ledgerloom.operators.keyed import coverage, missing_keys
-from ledgerloom.operators.resolve import resolve_suppliers
+from ledgerloom.operators.resolve import Entities, resolve_suppliers, update_entities, with_entities
 from ledgerloom.plans import sourcing
 
 GROUP = ["fiscal_year", "fiscal_quarter", "segment_code"]
@@ -299,6 +299,45 @@ def _resolution(retail: Retail) -> DataFrame:
     return resolve_suppliers(parts).select("supplier_id", "canonical_supplier_id")
 
 
+def entities_after_runs(retail: Retail) -> tuple[DataFrame, Entities]:
+    """Part names as above, delivered in three runs, of which the last also renames some keys of the first.
+
+    Each run sees its own rows and what is stored, no more.
+    """
+    parts = retail.read("part").select(
+        F.col("p_partkey").cast("long").alias("supplier_id"), F.concat("p_name", F.lit(" "), "p_brand").alias("supplier_name"),
+        (F.col("p_partkey") % 3 + 1).alias("run"))
+    noun, brand = F.split("supplier_name", " ")[1], F.split("supplier_name", " ")[2]
+    again = parts.where("supplier_id % 30 = 0").select("supplier_id", F.concat_ws(" ", F.lit("cold"), noun, brand).alias("supplier_name"), F.lit(3).alias("run"))
+    rows, known = parts.unionByName(again), None
+    for run in (1, 2, 3):
+        found = update_entities(rows.where(F.col("run") == run), known, run)
+        known = Entities(settled(found.spellings, "spellings"), settled(found.members, "members"), settled(found.merges, "merges"))
+    return parts, known
+
+
+@query("entity_merges")
+def _entity_merges(retail: Retail) -> DataFrame:
+    _, known = entities_after_runs(retail)
+    return known.merges.select("run", F.col("entity.since").alias("since"), F.col("entity.id").cast("string").alias("entity_id"),
+                               F.col("into.id").cast("string").alias("into_id"))
+
+
+@query("dim_supplier_resolved")
+def _dim_resolved(retail: Retail) -> DataFrame:
+    """The supplier dimension with the parts as its named suppliers and their stored entities."""
+    parts, known = entities_after_runs(retail)
+    lake = retail.conforming_lake()
+    raw = lake["LFA1_SUPPLIER_MASTER"]
+    given = {"LIFNR": F.col("supplier_id"), "NAME1": F.col("supplier_name")}
+    master = parts.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in raw.schema.fields])
+    entities = with_entities(parts.select("supplier_id"), known)
+    entities = entities.select(*[F.col(c).cast("string").alias(c) for c in entities.columns])
+    lake = lake.extend({"LFA1_SUPPLIER_MASTER": master, "ap_supplier_sites_all": lake["ap_supplier_sites_all"].where("false"),
+                        "supplier_entities": entities})
+    return lake["dim_supplier"].select("supplier_id", "supplier_name", "canonical_supplier_id", "entity_resolution_cluster_id")
+
+
 # -- marts and planned reports -----------------------------------------------------------
 
 add("parent_rollup", on_lake(sourcing.parent_rollup))

@@ -269,6 +269,14 @@ def _sample(retail: Retail) -> DataFrame:
     return sample_rows(retail.read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
 
 
+@query("large_hash_sample")
+def _large_sample(retail: Retail) -> DataFrame:
+    """Two thirds of all lines, of which whole orders share a key."""
+    lines = retail.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    share = lines.count() * 2 // 3
+    return sample_rows(lines, "l_orderkey", share).select("l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+
+
 @query("stream_ingest_events")
 def _stream(retail: Retail) -> DataFrame:
     """The event file ingested as a stream; a second run must add nothing."""

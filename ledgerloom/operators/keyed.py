@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules as R
+from ledgerloom.session import cut
 
 
 def one_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -49,9 +50,42 @@ def top_k(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows chosen by key hash: random-looking but the same on every run."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(n)
+def sample_rows(df: DataFrame, key: str, n: int, bins: int = 1 << 20) -> DataFrame:
+    """n rows with the least hashes of their key (ties: least key, then least rows): random-looking, the same on every run.
+
+    The hashes are counted in `bins` ranges, and the counts added up give the range that the n-th row is in. Rows of
+    lower ranges are taken where they are; only the rows of that one range, about rows / bins of them, are sorted.
+    Where a range holds more than rows / bins because one key has many rows, the sort takes n of them in each task.
+    """
+    if n <= 0:
+        return df.limit(0)
+    digest, width = F.md5(F.col(key).cast("string")), bins.bit_length() - 1
+    # A NULL key sorts before all others.
+    bin_of = F.coalesce(F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - width), F.lit(-1))
+    counts = df.groupBy(bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts)  # added up by groups of 1,024 first, so that few rows reach the driver
+    coarse = counts.groupBy(F.floor(F.col("_bin") / 1024).alias("_group")).agg(F.sum("_n").alias("_n"))
+    group = _reached(coarse, "_group", n)
+    if group is None:
+        return df  # there are no more than n rows
+    at, below = _reached(counts.where(F.floor(F.col("_bin") / 1024) == group[0]), "_bin", n - group[1])
+    rest = n - group[1] - below
+    edge = df.where(bin_of == at).orderBy(digest, key, *[c for c in df.columns if c != key and _orders(df, c)]).limit(rest)
+    return df.where(bin_of < at).unionByName(edge)
+
+
+def _reached(parts: DataFrame, bin: str, wanted: int) -> tuple[int, int] | None:
+    """The range in which the wanted row is, and how many rows are below it."""
+    below = 0
+    for row in sorted(parts.select(bin, "_n").collect()):  # at most 1,025 rows
+        if below + row[1] >= wanted:
+            return row[0], below
+        below += row[1]
+    return None
+
+
+def _orders(df: DataFrame, column: str) -> bool:
+    return not any(word in df.schema[column].dataType.simpleString() for word in ("map<", "variant"))
 
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ the large facts are partitioned by fiscal year and quarter so that reports prune
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom import gates
 from ledgerloom.lake import Lake
+from ledgerloom.operators.resolve import Entities, update_entities, with_entities
 from ledgerloom.sinks.tables import Store
 from ledgerloom.sources.files import quarantined, read_raw, readable
 from ledgerloom.sources.schemas import SOURCES
@@ -69,6 +71,23 @@ def bronze_gates(spark: SparkSession, root: str, allowed: int = 0, fields: bool
     return out
 
 
+def supplier_entities(spark: SparkSession, root: str, master: DataFrame) -> DataFrame:
+    """Bring the stored entities up to date with the supplier master; (supplier_id, canonical_supplier_id, ...) of it.
+
+    The spellings are written last: a run that was broken off has the same number when it is repeated, and so gives
+    the same names and the same log.
+    """
+    store = Store(spark, f"{root}/entities")
+    known, run = None, 1
+    if store.current("spellings"):
+        known = Entities(*[store.read(name) for name in ("spellings", "members", "merges")])
+        run = (known.spellings.agg(F.max("entity.since")).first()[0] or 0) + 1
+    names = master.select(F.col("LIFNR").alias("supplier_id"), F.col("NAME1").alias("supplier_name"))
+    found = update_entities(names, known, run)
+    written = {name: store.overwrite(name, getattr(found, name)) for name in ("merges", "members", "spellings")}
+    return with_entities(names.select("supplier_id").distinct(), Entities(**written))
+
+
 def derive(spark: SparkSession, root: str, anchors: DataFrame, macro: DataFrame | None = None) -> Lake:
     """Silver and gold from bronze, each table written and then read back by the next ones."""
     silver_store, gold_store, ml_store = (Store(spark, f"{root}/{part}") for part in ("silver", "gold", "ml"))
@@ -78,6 +97,7 @@ def derive(spark: SparkSession, root: str, anchors: DataFrame, macro: DataFrame
                  "dim_spend_category": gold.dim_spend_category(spark), "dim_date": gold.dim_date(spark)})
     if macro is not None:
         lake = lake.extend({"dim_macro_environment": macro})
+    lake = lake.extend({"supplier_entities": supplier_entities(spark, root, lake["LFA1_SUPPLIER_MASTER"])})
     builders = gold.derived()
     for store, names in ((silver_store, SILVER), (gold_store, GOLD)):
         for name in names:

@@ -35,11 +35,11 @@ def dim_supplier(lake: Lake) -> DataFrame:
     columns = ["supplier_id", "supplier_name", "country_code", "region", "language_code",
                "created_date", "category_primary", "category_secondary_json", "maverick_propensity",
                "segment_affinity", "payment_terms", "is_regulated_supplier",
-               "source_system", "source_primary_key"]
+               "supplier_canonical_id", "entity_resolution_cluster_id", "source_system", "source_primary_key"]
     best = one_per_key(lake["supplier"].select(*columns), ["supplier_id"], [
         F.col("supplier_name").isNull(), F.col("source_system"), F.col("source_primary_key")])
-    return best.select(*columns[:-2], F.col("supplier_id").alias("canonical_supplier_id"),
-                       R.null("string", "entity_resolution_cluster_id"))
+    return best.select(*columns[:-4], F.coalesce("supplier_canonical_id", "supplier_id").alias("canonical_supplier_id"),
+                       "entity_resolution_cluster_id")
 
 
 def dim_customer(lake: Lake) -> DataFrame:

@@ -13,7 +13,10 @@ FUSION, ARIBA, CMS = "oracle_fusion", "sap_ariba", "inhouse_cms"
 
 
 def supplier(lake: Lake) -> DataFrame:
-    """Source-tagged supplier master: every named supplier, plus every purchasing site."""
+    """Source-tagged supplier master: every named supplier, plus every purchasing site.
+
+    Resolved ids come from the table `supplier_entities`, if the lake has it.
+    """
     master = lake["LFA1_SUPPLIER_MASTER"]
     named = master.select(
         *R.lineage(ARIBA, "LFA1_SUPPLIER_MASTER", "LIFNR"),
@@ -31,8 +34,11 @@ def supplier(lake: Lake) -> DataFrame:
         F.col("vendor_id_ext").alias("supplier_id"),
         F.col("country").alias("country_code"), R.region_of("country").alias("region"))
     # Columns a site does not have come out as typed NULLs.
-    return named.unionByName(sites, allowMissingColumns=True).select(
-        "*", R.null("string", "supplier_canonical_id"), R.null("string", "entity_resolution_cluster_id"))
+    every = named.unionByName(sites, allowMissingColumns=True)
+    if "supplier_entities" not in lake:
+        return every.select("*", R.null("string", "supplier_canonical_id"), R.null("string", "entity_resolution_cluster_id"))
+    return every.join(lake.pick("supplier_entities", "supplier_id", "entity_resolution_cluster_id", supplier_canonical_id="canonical_supplier_id"),
+                      "supplier_id", "left").select(*every.columns, "supplier_canonical_id", "entity_resolution_cluster_id")
 
 
 def customer(lake: Lake) -> DataFrame:

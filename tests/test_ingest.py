@@ -106,6 +106,14 @@ def test_build_end_to_end(spark, landing, tmp_path):
     lakehouse.publish_predictions(spark, root, predictions)
     assert lakehouse.derive(spark, root, anchors(spark))["fact_invoices"].first().secondary_confidence == 0.8
 
+    # A new spelling of a known supplier comes under its entity, although its id is smaller.
+    master = CSV["LFA1_SUPPLIER_MASTER"]
+    land(spark, landing, "LFA1_SUPPLIER_MASTER", ["A0" + master[0][2:].replace(",One,", ",ONE Inc.,"), *master])
+    lake = lakehouse.build(spark, landing, root, anchors(spark), aliases=ALIASES, check=False)
+    found = {r.supplier_id: (r.canonical_supplier_id, r.entity_resolution_cluster_id) for r in lake["dim_supplier"].collect()}
+    assert found["A0"] == found["S1"] and found["S1"][0] == "S1" and found["S1"][1]
+    assert {r.supplier_canonical_id for r in lake["supplier"].collect()} == {"S1"}
+
 
 def test_incremental_refresh_and_quarantine(spark, tmp_path):
     root, name = str(tmp_path / "landing"), "ap_invoices_all"

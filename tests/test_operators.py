@@ -10,7 +10,8 @@ from ledgerloom.operators import allocate, keyed, series
 from ledgerloom.operators.history import scd2, snapshot
 from ledgerloom.operators.ordered import along, cut, numbered
 from ledgerloom.operators.sweep import sums_within, under_cover
-from ledgerloom.operators.resolve import resolve_suppliers
+from ledgerloom.session import cut as cut_lineage
+from ledgerloom.operators.resolve import Entities, resolve_suppliers, update_entities, with_entities
 
 
 def skewed(spark, n=600):
@@ -193,3 +194,39 @@ def test_resolution_rules(spark):
         ("6", "Plant 18"), ("7", None)], "supplier_id string, supplier_name string")
     got = {r.supplier_id: r.canonical_supplier_id for r in resolve_suppliers(df).collect()}
     assert got == {"1": "1", "2": "1", "3": "1", "4": "1", "5": "5", "6": "6", "7": "7"}
+
+
+def test_entities_over_runs_equal_one_run_and_keep_their_names(spark):
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("abc") for _ in range(rnd.randint(5, 8))) for _ in range(150)]
+    delivered = [(i, names[rnd.randrange(150)], 1 + rnd.randrange(4)) for i in range(220)] + [(7, names[3], 3), (8, None, 2), (None, "abcab", 1), (500, "", 4)]
+    df = spark.createDataFrame(delivered, "supplier_id int, supplier_name string, run int").cache()
+    known, before = None, {}
+    for run in (1, 2, 3, 4, 4):  # the last one is repeated
+        known = update_entities(df.where(F.col("run") == run), known, run)
+        known = Entities(*[cut_lineage(frame) for frame in (known.spellings, known.members, known.merges)])
+        now = {r.key: tuple(r.entity) for r in known.members.collect()}
+        log = {(r.run, tuple(r.entity)): tuple(r.into) for r in known.merges.collect()}
+        for key, entity in before.items():  # a name lives on, or the log says what became of it
+            assert now[key] == log.get((run, entity), entity)
+        assert all(into < entity for (_, entity), into in log.items())
+        before = now
+    every = update_entities(df, None, 1)
+    want = {}
+    for r in every.members.collect():
+        want.setdefault(tuple(r.entity), set()).add(r.key)
+    got = {}
+    for key, entity in before.items():
+        got.setdefault(entity, set()).add(key)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert {r.supplier_id: r.canonical_supplier_id for r in with_entities(df.where("supplier_id in (8, 500)"), known).collect()}[500] == 500
+
+
+def test_sample_of_exact_size(spark, rows):
+    """A third of the rows share a key, some have none."""
+    df = spark.createDataFrame([(None if i % 50 == 0 else 5 if i % 3 == 0 else i, i) for i in range(2000)], "k int, v int").repartition(6)
+    order = df.orderBy(F.md5(F.col("k").cast("string")), "k", "v")
+    for n in (0, 1, 30, 700, 1999, 2000, 5000):
+        for bins in (1 << 20, 4):
+            assert rows(keyed.sample_rows(df, "k", n, bins)) == rows(order.limit(n))
+    assert keyed.sample_rows(df.limit(0), "k", 5).collect() == []
