@@ -93,7 +93,7 @@ def _expiring(retail: Retail) -> DataFrame:
 
 
 # The other registries add their queries on import.
-from checks import oracle_sourcing, oracle_tables, registry_sourcing, registry_tables  # noqa: E402,F401
+from checks import oracle_sources, oracle_sourcing, oracle_tables, registry_sources, registry_sourcing, registry_tables  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -103,5 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    every = {**oracle_analyst.SQL, **oracle_tables.SQL, **oracle_sourcing.SQL}
+    every = {**oracle_analyst.SQL, **oracle_tables.SQL, **oracle_sourcing.SQL, **oracle_sources.SQL}
     return {name: prelude.with_ctes(sql) for name, sql in every.items()}

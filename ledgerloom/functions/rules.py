@@ -140,8 +140,8 @@ def days_to_pay(payment_date, invoice_date) -> Column:
 
 
 def file_quarter(path) -> Column:
-    """The YYYYQq label in a landing file name."""
-    return F.regexp_extract(col(path), r"(\d{4}Q[1-4])\.[a-z]+$", 1)
+    """The YYYYQq label in the name of a landing file, or of a folder of files that stands for one."""
+    return F.regexp_extract(col(path), r"(\d{4}Q[1-4])\.[a-z]+(?:/[^/]*)?$", 1)
 
 
 # -- numbers -----------------------------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 from ledgerloom.lake import settled
 
 BUCKET = "_bucket"
+WIDENED = "_WIDENED"  # marks a version whose files differ in their columns
 
 
 class Store:
@@ -60,7 +61,8 @@ class Store:
         facts = self._buckets(name)
         if facts and not merge_schema:  # a table in buckets has no file while it is empty
             return self.spark.read.schema(facts["schema"]).parquet(path)
-        return self.spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+        widened = merge_schema or self._fs(path).exists(self._path(f"{path}/{WIDENED}"))
+        return self.spark.read.option("mergeSchema", str(widened).lower()).parquet(path)
 
     def overwrite(self, name: str, df: DataFrame, partition_by: list[str] = ()) -> DataFrame:
         """Replace rows and schema. The old version may be read while the new one is written."""
@@ -69,10 +71,12 @@ class Store:
         return self.read(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
-        """Add rows; columns may be new, older rows then show NULL."""
+        """Add rows; columns may be new, older rows then show NULL, for every later reader too."""
         path = self.current(name)
         if path is None:
             return self.overwrite(name, df)
+        if set(df.columns) != set(self.read(name).columns):
+            self._fs(path).create(self._path(f"{path}/{WIDENED}"), True).close()
         df.write.mode("append").parquet(path)
         return self.read(name, merge_schema=True)
 

@@ -150,7 +150,7 @@ def test_store_versions_upsert_and_append(spark, tmp_path):
     wide = store.append("t", spark.createDataFrame([(4, "d", 1.0)], "k bigint, v string, w double"))
     assert wide.count() == 4 and wide.where("w is null").count() == 3
     store.drop_old("t", keep=1)
-    assert store.read("t").count() == 4
+    assert store.read("t").count() == 4 and store.read("t").where("w = 1").count() == 1
 
 
 def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
