@@ -27,3 +27,14 @@ def test_rows_are_encoded_in_place_and_only_shared_keys_are_gathered(spark):
     for r in alone.collect():
         assert r.indices == got[r.k].indices and r.vals == pytest.approx(got[r.k].vals)
     assert len(got) == 6 and got[9].indices.count(model.width - 1) == 5
+
+
+def test_bins_are_found_without_exploding_rows(spark):
+    rows = spark.createDataFrame([([0, 1], [float(i), 1.0], i % 2, 1.0) for i in range(10)], "indices array<int>, vals array<double>, label int, weight double")
+    cuts = boost.thresholds(rows, 4)
+    assert {r["index"]: len(r.cuts) > 1 for r in cuts.collect()} == {0: True, 1: False}
+    binned = boost._binned(rows, cuts)
+    assert "Generate" not in plan(binned)
+    own = {r["index"]: r.cuts for r in cuts.collect()}
+    for r in binned.collect():
+        assert r.bins == [sum(c < v for c in own[i]) for i, v in zip(r.indices, r.vals)]
