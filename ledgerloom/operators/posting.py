@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules as R
+from ledgerloom.lake import settled
 from ledgerloom.operators.allocate import settle_residual
 from ledgerloom.operators.ordered import along
 
@@ -28,13 +29,27 @@ def _pair(documents: DataFrame, je_id: Column, first: Column, second: Column) ->
         .select("je_header_id", "_e.*").select(*LINE_COLUMNS)
 
 
-def _header(documents: DataFrame, je_id: Column, source: str, category: str, posted: str,
-            currency: str) -> DataFrame:
-    return documents.select(
-        je_id.alias("je_header_id"), R.month_name(posted).alias("period_name"),
-        F.lit(1).alias("ledger_id"), F.lit(source).alias("je_source"),
-        F.lit(category).alias("je_category"), F.lit("Y").alias("posted_flag"),
-        F.col(posted).alias("posted_date"), F.col(currency).alias("currency_code"))
+def _header_columns(je_id: Column, source: str, category: str, posted: str, currency: str) -> list[Column]:
+    return [je_id.alias("je_header_id"), R.month_name(posted).alias("period_name"),
+            F.lit(1).alias("ledger_id"), F.lit(source).alias("je_source"),
+            F.lit(category).alias("je_category"), F.lit("Y").alias("posted_flag"),
+            F.col(posted).alias("posted_date"), F.col(currency).alias("currency_code")]
+
+
+CREATION = ("Payables", "Purchase Invoices", "invoice_date", "currency")
+PAYMENT = ("Payables", "Payments", "payment_date", "currency")
+RECEIVABLE = ("Receivables", "Sales Invoices", "invoice_date", "currency")
+
+
+def headers(documents: DataFrame, receivables: DataFrame, kinds: tuple[Column, Column, Column]) -> DataFrame:
+    """The headers of all journals. `kinds` are the journal ids of creation, payment and receivable.
+
+    A document gives the header of its creation and, once paid, that of its payment in one expansion.
+    """
+    create, pay, bill = kinds
+    both = F.array(F.struct(*_header_columns(create, *CREATION)), F.struct(*_header_columns(pay, *PAYMENT)))
+    posted = F.when(F.col("payment_date").isNull(), F.slice(both, 1, 1)).otherwise(both)
+    return documents.select(F.explode(posted).alias("_h")).select("_h.*").unionByName(receivables.select(*_header_columns(bill, *RECEIVABLE)))
 
 
 def documents_of(lines: DataFrame) -> DataFrame:
@@ -48,16 +63,27 @@ def documents_of(lines: DataFrame) -> DataFrame:
         F.sum("amount").cast("decimal(18,2)").alias("invoice_amount"), F.count("*").alias("lines"))
 
 
+def _numbered(lines: DataFrame, documents: DataFrame, order: list[str], lines_per_slice: int) -> DataFrame:
+    """The lines with `_no`, their place in the document: in slices where the document is long, else one shuffle and no copy."""
+    long = settled(documents.where(F.col("lines") > lines_per_slice).select(F.col("invoice_id").alias("_d")), "long")
+    place = F.row_number().over(Window.partitionBy("invoice_id").orderBy(*order))
+    if long.isEmpty():
+        return lines.withColumn("_no", place)
+    same = F.col("invoice_id").eqNullSafe(F.col("_d"))
+    short = lines.join(long, same, "left_anti").withColumn("_no", place)
+    return short.unionByName(along(lines.join(long, same, "left_semi"), ["invoice_id"], order, number="_no", rows=lines_per_slice))
+
+
 def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
                   lines_per_slice: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Invoice creation: a debit per line, one credit of the payable for the document total.
 
-    The last debit absorbs the rounding so that each journal balances to the cent. Lines are
-    numbered through slices that are cut from the lines themselves, so a document of any length is
-    spread over tasks, also if its lines have no numbers.
+    The last debit absorbs the rounding so that each journal balances to the cent. Lines of a document
+    with more than `lines_per_slice` of them are numbered through slices that are cut from the lines
+    themselves, so a document of any length is spread over tasks, also if its lines have no numbers.
     """
     order = ["line_number", "invoice_line_id"]
-    numbered = along(lines, ["invoice_id"], order, number="_no", rows=lines_per_slice)
+    numbered = _numbered(lines, documents, order, lines_per_slice)
     booked = settle_residual(numbered, "invoice_id", order, "amount", documents, "invoice_amount", "_debit")
     zero = F.lit(0).cast("decimal(18,2)")
     debits = booked.select(
@@ -72,8 +98,7 @@ def post_payables(lines: DataFrame, documents: DataFrame, je_id: Column,
                F.concat(F.lit("AP "), "invoice_number", F.lit(" credit"))).alias("_e"), "lines") \
         .select("je_header_id", (F.col("lines") + 1).cast("int").alias("je_line_num"),
                 *[f"_e.{c}" for c in LINE_COLUMNS[2:]])
-    header = _header(documents, je_id, "Payables", "Purchase Invoices", "invoice_date", "currency")
-    return header, debits.unionByName(credits)
+    return documents.select(*_header_columns(je_id, *CREATION)), debits.unionByName(credits)
 
 
 def _amounts(posted, currency, source: str, category: str, account, debit, credit) -> list[Column]:
@@ -116,7 +141,7 @@ def post_payments(documents: DataFrame, je_id: Column) -> tuple[DataFrame, DataF
     lines = _pair(paid, je_id,
                   _entry(1, "payables_account", "invoice_amount", None, label(" DR AP")),
                   _entry(2, "cash_account", None, "invoice_amount", label(" CR Cash")))
-    return _header(paid, je_id, "Payables", "Payments", "payment_date", "currency"), lines
+    return paid.select(*_header_columns(je_id, *PAYMENT)), lines
 
 
 def post_receivables(invoices: DataFrame, je_id: Column) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +150,7 @@ def post_receivables(invoices: DataFrame, je_id: Column) -> tuple[DataFrame, Dat
     lines = _pair(invoices, je_id,
                   _entry(1, "receivables_account", "total_amount", None, label(" debit")),
                   _entry(2, "revenue_account", None, "total_amount", label(" revenue")))
-    return _header(invoices, je_id, "Receivables", "Sales Invoices", "invoice_date", "currency"), lines
+    return invoices.select(*_header_columns(je_id, *RECEIVABLE)), lines
 
 
 def period_balances(lines: DataFrame, period: Column, by: tuple[str, ...] = ("code_combination_id",)) -> DataFrame:

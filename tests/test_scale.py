@@ -38,3 +38,17 @@ def test_bins_are_found_without_exploding_rows(spark):
     own = {r["index"]: r.cuts for r in cuts.collect()}
     for r in binned.collect():
         assert r.bins == [sum(c < v for c in own[i]) for i, v in zip(r.indices, r.vals)]
+
+
+def test_headers_and_short_documents_need_no_slices(spark, monkeypatch):
+    calls = []
+    along = posting.along
+    monkeypatch.setattr(posting, "along", lambda *a, **k: calls.append(1) or along(*a, **k))
+    lake = Retail(spark, SMALL).lake()
+    assert lake["gl_journal_header"].count() > 0
+    assert lake.pick("gl_journal_line", "je_line_num").count() > 0 and not calls
+    lines = spark.createDataFrame([(d, n, f"{d}-{n}") for d, size in ((1, 9), (2, 2), (None, 5)) for n in range(size)],
+                                  "invoice_id int, line_number int, invoice_line_id string")
+    documents = lines.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("lines"))
+    got = posting._numbered(lines, documents, ["line_number", "invoice_line_id"], 4).collect()
+    assert calls and len(got) == 16 and all(r._no == r.line_number + 1 for r in got)
