@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.lake import settled
+from ledgerloom.session import scratch
 
 BUCKET = "_bucket"
 WIDENED = "_WIDENED"  # marks a version whose files differ in their columns
@@ -101,9 +102,9 @@ class Store:
         facts = self.spark.read.parquet(path).first()
         return {"key": facts["key"], "buckets": facts["buckets"], "schema": StructType.fromJson(json.loads(facts["schema"]))}
 
-    def _write_buckets(self, rows: DataFrame, path: str) -> None:
-        """Replace the buckets that `rows` has, and no others; one shuffle gathers each in files of even size."""
-        rows.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    def _write_buckets(self, rows: DataFrame, path: str, gathered: bool = False) -> None:
+        """Replace the buckets that `rows` has, and no others; one shuffle gathers each in files of even size, unless it is so stored."""
+        (rows if gathered else rows.hint("rebalance", BUCKET)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
         self.publish(path)  # Spark marks no folder that it overwrites in part
 
     def upsert(self, name: str, source: DataFrame, key: list[str]) -> DataFrame:
@@ -124,8 +125,9 @@ class Store:
         if not touched:
             return self.read(name)
         target = self._stored(name, path).where(F.col(BUCKET).isin(touched))
-        rows = settled(merged(target.drop(BUCKET), source, key, checked=True).withColumn(BUCKET, bucket), "merged")
-        self._write_buckets(rows, path)
+        rows, copy = merged(target.drop(BUCKET), source, key, checked=True).withColumn(BUCKET, bucket), scratch(self.spark, "merged")
+        self._write_buckets(rows, copy)
+        self._write_buckets(self.spark.read.schema(rows.schema).parquet(copy), path, gathered=True)
         return self.read(name)
 
     def drop_old(self, name: str, keep: int = 2) -> None:

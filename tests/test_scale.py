@@ -52,3 +52,12 @@ def test_headers_and_short_documents_need_no_slices(spark, monkeypatch):
     documents = lines.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("lines"))
     got = posting._numbered(lines, documents, ["line_number", "invoice_line_id"], 4).collect()
     assert calls and len(got) == 16 and all(r._no == r.line_number + 1 for r in got)
+
+
+def test_upsert_gathers_its_buckets_once(spark, tmp_path, monkeypatch):
+    store, seen, write = Store(spark, str(tmp_path)), [], Store._write_buckets
+    store.create_bucketed("t", spark.range(50).withColumn("v", F.lit("a")), ["id"], 4)
+    monkeypatch.setattr(Store, "_write_buckets", lambda self, rows, path, gathered=False: seen.append(gathered) or write(self, rows, path, gathered))
+    out = store.upsert("t", spark.range(40, 60).withColumn("v", F.lit("b")), ["id"])
+    assert seen == [False, True]
+    assert {(r.id, r.v) for r in out.collect()} == {(i, "a" if i < 40 else "b") for i in range(60)}
