@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from ledgerloom.adapters.retail import Retail
 from ledgerloom.functions import rules as R
+from ledgerloom.lake import settled
 from ledgerloom.operators import allocate, posting, series
 from ledgerloom.operators.history import scd2, snapshot
 from ledgerloom.operators.keyed import sample_rows
@@ -244,6 +245,7 @@ def _scaled(retail: Retail) -> DataFrame:
 def _upsert(retail: Retail) -> DataFrame:
     """A second model run over all lines: later lines of a document are updated, the first two come under new ids."""
     lines = retail.lake().pick("invoice_ap", "invoice_line_id", "line_number", "true_category_secondary")
+    lines = settled(lines, "lines", rebalance=False)  # target, source and the check of its keys read them
     new_id = F.when(F.col("line_number") <= 2, F.concat(F.lit("new-"), "invoice_line_id")).otherwise(F.col("invoice_line_id"))
     target = lines.select("invoice_line_id", "true_category_secondary", F.lit("1").alias("model_version"))
     source = lines.select(new_id.alias("invoice_line_id"), "true_category_secondary", F.lit("2").alias("model_version"))

@@ -61,3 +61,9 @@ def test_upsert_gathers_its_buckets_once(spark, tmp_path, monkeypatch):
     out = store.upsert("t", spark.range(40, 60).withColumn("v", F.lit("b")), ["id"])
     assert seen == [False, True]
     assert {(r.id, r.v) for r in out.collect()} == {(i, "a" if i < 40 else "b") for i in range(60)}
+
+
+def test_upserted_lines_are_derived_once(spark):
+    from checks.registry import QUERIES
+
+    assert not any("lineitem" in f for f in QUERIES["upsert_predictions"](Retail(spark, SMALL)).inputFiles())
