@@ -1,16 +1,17 @@
 """Repeated passages across documents, removed everywhere but at their first place.
 
 1. *Entered.* Every text gives its number of words, the SHA-256 of its words and its anchors: of each window of 20
-   words, the smallest hash of the runs of five words in it. Equal windows have equal anchors. Texts with the same
+   words, the smallest hash of the runs of eight words in it. Equal windows have equal anchors. Texts with the same
    words are one from here on: the first keeps its place, of the others every word goes.
 2. *Confirmed.* Anchors that occur once are left out. Windows over the others are counted; those that
    occur twice recur, and the smallest document id is their first place.
 3. *Passages.* The first document of each recurring window cuts its text there: runs of such windows, in sections of
    at most `SECTION` windows.
-4. *Located.* A section is sent to the documents that have one of its windows. Each task compiles the sections of
-   its documents into Aho-Corasick automata over word numbers, in shards of bounded size, and streams the documents
-   through them. The keys are every tenth run of ten words of a section: any window of 20 words holds one. A key
-   that is found lines the section up with the document, and the words on either side settle how far they agree.
+4. *Located.* A section is sent to the other documents that have one of its windows, and to its own if that has one
+   twice. Each task compiles the sections of its documents into Aho-Corasick automata over word numbers, in shards of
+   bounded size, and streams the documents through them. The keys are every 13th run of eight words of a section: any
+   window of 20 words holds one. A key that is found lines the section up with the document, and the words on either
+   side settle how far they agree.
 
 Documents with one id are told apart by a hash of their text. Nothing but the words of a single text is held whole.
 """
@@ -18,6 +19,7 @@ Documents with one id are told apart by a hash of their text. Nothing but the wo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,8 +32,9 @@ from ledgerloom.llm import words as W
 from ledgerloom.llm.store import Workspace, unused, worked_out
 
 WINDOW = 20
-RUN = 5
-KEY = 10
+RUN = 8
+KEY = 8
+STEP = WINDOW - KEY + 1
 SECTION = 64
 SHARD_WORDS = 400_000
 BATCH_BYTES = 4_000_000
@@ -50,9 +53,9 @@ def _anchors(runs: np.ndarray) -> np.ndarray:
     return np.minimum(low[:-rest], low[rest:]) if rest else low
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, bytes, word starts, word stops, word hashes) of each text."""
-    for first, last, data, edges in W.pieces(batch.column(column)):
+    for first, last, data, edges in W.pieces(column):
         starts, stops, at = W.spans(data, edges)
         h, raw = W.hashes(data, starts, stops), data.tobytes()
         for i in range(last - first):
@@ -60,44 +63,88 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes, np.
             yield first + i, raw[low:edges[i + 1]], starts[a:b] - low, stops[a:b] - low, h[a:b]
 
 
+def _joined(data: np.ndarray, edges: np.ndarray) -> Iterator[bytes]:
+    """The words of each text with one space between them."""
+    inside = ~W.GAP[data]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # a word and the byte behind it
+    at = edges[edges < len(data)]
+    keep[at] = inside[at]
+    places = np.flatnonzero(keep)
+    raw = np.where(inside, data, np.uint8(32))[places].tobytes()
+    cuts = np.searchsorted(places, edges).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield raw[a:b].removesuffix(b" ")
+
+
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, text -> doc_id, h, n_words, sha, anchors."""
     for batch in batches:
-        counts, shas, anchors = [], [], []
-        for _, raw, starts, _, h in _texts(batch, 2):
-            counts.append(len(starts))
-            shas.append(hashlib.sha256(b" ".join(raw.split())).digest())
-            runs = W.windows(h, RUN)
-            found = np.unique(_anchors(runs))
-            if len(found):  # one that this text has twice is listed twice
-                values, times = np.unique(runs, return_counts=True)
-                found = np.concatenate((found, found[times[np.searchsorted(values, found)] > 1]))
-            anchors.append(found.view(np.int64))
+        counts, shas, anchors, sizes = [np.zeros(0, np.int64)], [], [np.zeros(0, np.uint64)], [0]
+        for _, _, data, edges in W.pieces(batch.column(2)):
+            starts, stops, at = W.spans(data, edges)
+            counts.append(np.diff(at))
+            shas.extend(hashlib.sha256(words).digest() for words in _joined(data, edges))
+            # Over all texts of the piece at once; what reaches into the next text is cut off below.
+            runs = W.windows(W.hashes(data, starts, stops), RUN)
+            low = _anchors(runs)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a < WINDOW:
+                    sizes.append(0)
+                    continue
+                mine = low[a:b - WINDOW + 1]
+                found = np.unique(mine[np.flatnonzero(np.diff(mine, prepend=~mine[:1]))])
+                own = np.sort(runs[a:b - RUN + 1])
+                twice = own[1:][own[1:] == own[:-1]]
+                if len(twice):  # one that this text has twice is listed twice
+                    found = np.concatenate((found, found[np.isin(found, twice)]))
+                anchors.append(found)
+                sizes.append(len(found))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(anchors).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()),
-             pa.array(anchors, pa.list_(pa.int64()))], ["doc_id", "h", "n_words", "sha", "anchors"])
+            [batch.column(0), batch.column(1), pa.array(np.concatenate(counts), pa.int64()), pa.array(shas, pa.binary()), lists],
+            ["doc_id", "h", "n_words", "sha", "anchors"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, h, text, anchors -> a, b, doc, h, times: the windows over the given anchors, each once a document."""
     for batch in batches:
-        shared = batch.column(3)
-        for row, _, _, _, words in _texts(batch, 2):
-            keep = np.isin(_anchors(W.windows(words, RUN)), np.array(shared[row].as_py(), np.int64).view(np.uint64))
-            a, b = W.windows(words, WINDOW)[keep], W.windows(words, WINDOW, 1)[keep]
-            a, at, n = np.unique(a, return_index=True, return_counts=True)
-            if len(a):
-                ids = [pa.repeat(batch.column(c)[row], len(a)) for c in (0, 1)]
+        edge, shared = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy().view(np.uint64)
+        for first, _, data, edges in W.pieces(batch.column(2)):
+            starts, stops, at = W.spans(data, edges)
+            words = W.hashes(data, starts, stops)
+            # Over all texts of the piece at once; what reaches into the next text is cut off below.
+            low, every = _anchors(W.windows(words, RUN)), W.windows(words, WINDOW)
+            places, rows, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), first):
+                wanted = np.sort(shared[edge[row]:edge[row + 1]])
+                if y - x < WINDOW or not len(wanted):
+                    continue
+                mine = low[x:y - WINDOW + 1]
+                place = x + np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine)
+                n = np.ones(len(place), np.int64)
+                a = np.sort(every[place])
+                if (a[1:] == a[:-1]).any():
+                    _, at_first, n = np.unique(every[place], return_index=True, return_counts=True)
+                    place = place[at_first]
+                places.append(place)
+                rows.append(np.full(len(place), row))
+                times.append(n)
+            place = np.concatenate(places)
+            if len(place):
+                b = W.windows(words, WINDOW, 1)[place]
+                of = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array((b[at] >> np.uint64(33)).astype(np.int32)), *ids,
-                     pa.array(np.minimum(n, 2))], ["a", "b", "doc", "h", "times"])
+                    [pa.array(every[place].view(np.int64)), pa.array((b >> np.uint64(33)).astype(np.int32)),
+                     batch.column(0).take(of), batch.column(1).take(of), pa.array(np.minimum(np.concatenate(times), 2))],
+                    ["a", "b", "doc", "h", "times"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, h, text, first (window hashes) -> sections: doc, h, start, words, and the window hashes in each."""
     for batch in batches:
         out = []
-        for row, raw, starts, stops, words in _texts(batch, 2):
+        for row, raw, starts, stops, words in _texts(batch.column(2)):
             a = W.windows(words, WINDOW)
             places = np.unique(a, return_index=True)[1]  # a window's first place in this document
             mine = np.array(batch.column(3)[row].as_py(), np.int64).view(np.uint64)
@@ -117,10 +164,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc", "h", "start", "words", "windows"])
 
 
-def _letters(ids: np.ndarray) -> str:
-    """Word numbers as characters; number 0 is a word that no key has."""
-    codes = ids + 1
-    return (codes + 0x800 * (codes >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+def _letters(ids: np.ndarray, base: int) -> str:
+    """Word numbers as two characters each, their digits; number 0 is a word that no key has.
+
+    The automaton looks for a character among all children of a node, and its root has a child for each first one.
+    First and second characters differ, so that a key is found at whole words only.
+    """
+    codes = np.empty(2 * len(ids), "<u4")
+    codes[::2] = ids % base + 1
+    codes[1::2] = ids // base + base + 1
+    return codes.tobytes().decode("utf-32-le")
 
 
 class _Shard:
@@ -129,11 +182,12 @@ class _Shard:
     def __init__(self, sections: list[np.ndarray]):
         self.sections = sections
         self.words = np.unique(np.concatenate(sections))
+        self.base = math.isqrt(len(self.words)) + 1
         self.keys = ahocorasick.Automaton()
         for i, section in enumerate(sections):
             text = self.spelled(section)
-            for at in range(0, len(section) - KEY + 1, KEY):
-                key = text[at:at + KEY]
+            for at in range(0, len(section) - KEY + 1, STEP):
+                key = text[2 * at:2 * (at + KEY)]
                 places = self.keys.get(key, None)
                 if places is None:
                     self.keys.add_word(key, [(i, at)])
@@ -143,11 +197,11 @@ class _Shard:
 
     def spelled(self, h: np.ndarray) -> str:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return _letters(np.where(self.words[at] == h, at + 1, 0))
+        return _letters(np.where(self.words[at] == h, at + 1, 0), self.base)
 
     def found(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(section, place in the document at which it would begin) wherever a key occurs."""
-        return {(i, end - KEY + 1 - at) for end, places in self.keys.iter(self.spelled(h)) for i, at in places}
+        return {(i, end // 2 - KEY + 1 - at) for end, places in self.keys.iter(self.spelled(h)) for i, at in places}
 
 
 def _agreeing(doc: np.ndarray, sections: list[np.ndarray], begin: np.ndarray) -> np.ndarray:
@@ -186,41 +240,39 @@ def _remove(raw: bytes, starts: np.ndarray, stops: np.ndarray, gone: np.ndarray)
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, h, text, sections (doc, h, start, words) -> doc, h, n_removed, sha, kept text."""
+    """doc, h, text, sections (doc, h, start, words) -> doc, h, n_removed, sha, kept text of those that lose a word."""
     for batch in (b.slice(first, last - first) for b in batches for first, last, *_ in W.pieces(b.column(2), BATCH_BYTES)):
-        rows, number, sections, sent = [], {}, [], {}
-        of_doc = batch.column(3)
-        texts = list(_texts(batch, 2))
-        for row, *_ in texts:
-            asked = sent[row] = set()
-            for s in of_doc[row].as_py():
-                key = (s["doc"], s["h"], s["start"])
-                asked.add(key)
-                if key not in number:
-                    number[key] = len(sections)
-                    data = np.frombuffer(s["words"].encode(), np.uint8)
-                    sections.append(W.hashes(data, *W.spans(data, np.array([0, len(data)]))[:2]))
-        gone = {row: np.zeros(len(starts), bool) for row, _, starts, _, _ in texts}
+        edge, items = batch.column(3).offsets.to_numpy(), batch.column(3).values
+        *source, spelled = items.slice(edge[0], edge[-1] - edge[0]).flatten()
+        number: dict[tuple[int, int, int], int] = {}
+        asked = [number.setdefault(key, len(number)) for key in zip(*(c.to_pylist() for c in source), strict=True)]
         keys = list(number)
+        sections = [h for *_, h in _texts(spelled.take(pa.array(np.unique(np.array(asked, np.int64), return_index=True)[1])))]
+        edge = (edge - edge[0]).tolist()
+        texts = list(_texts(batch.column(2)))
+        rows, gone = [], [np.zeros(len(starts), bool) for _, _, starts, _, _ in texts]
+        ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        sent = [set(asked[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
         size = np.cumsum([len(s) for s in sections]) // SHARD_WORDS
         for part in np.unique(size).tolist():
             chosen = np.flatnonzero(size == part).tolist()
             shard = _Shard([sections[i] for i in chosen])
             for row, _, _, _, words in texts:
-                me = (batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
-                laid = []
+                me, mine, laid = ids[row], sent[row], []
                 for i, begin in shard.found(words):
-                    *source, start = key = keys[chosen[i]]
                     # Sections sent for another document of this task are none of this one's.
-                    if key in sent[row] and (tuple(source) < me or tuple(source) == me and begin != start):
-                        laid.append((i, begin))
+                    if chosen[i] in mine:
+                        *source, start = keys[chosen[i]]
+                        if tuple(source) < me or tuple(source) == me and begin != start:
+                            laid.append((i, begin))
                 if laid:
                     gone[row][_agreeing(words, [shard.sections[i] for i, _ in laid], np.array([b for _, b in laid]))] = True
         for row, raw, starts, stops, _ in texts:
             lost = gone[row]
-            left = [raw[a:b] for a, b in zip(starts[~lost].tolist(), stops[~lost].tolist(), strict=True)]
-            rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), int(lost.sum()),
-                         hashlib.sha256(b" ".join(left)).digest(), _remove(raw, starts, stops, lost).decode()))
+            if lost.any():
+                left = [raw[a:b] for a, b in zip(starts[~lost].tolist(), stops[~lost].tolist(), strict=True)]
+                rows.append((*ids[row], int(lost.sum()), hashlib.sha256(b" ".join(left)).digest(),
+                             _remove(raw, starts, stops, lost).decode()))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -255,7 +307,8 @@ def _repeats(work: Workspace, documents: DataFrame, key: str, text: str) -> tupl
     cut = work.keep(texts.join(own, ["doc", "h"]).select("doc", "h", "text", "first").mapInArrow(
         _cut, "doc long, h long, start long, words string, windows array<long>"), "sections")
     source = cut.select(F.struct("doc", "h", "start").alias("section"), F.explode("windows").alias("a"))
-    asked = seen.select("a", "doc", "h").join(source, "a").select("doc", "h", "section").distinct()
+    elsewhere = (F.col("doc") != F.col("section.doc")) | (F.col("h") != F.col("section.h")) | (F.col("times") > 1)
+    asked = seen.select("a", "doc", "h", "times").join(source, "a").where(elsewhere).select("doc", "h", "section").distinct()
     sent = (asked.join(cut.select(F.struct("doc", "h", "start").alias("section"), "words"), "section")
             .groupBy("doc", "h").agg(F.collect_list(F.struct("section.doc", "section.h", "section.start", "words")).alias("sections")))
     sent = work.keep(sent, "sent")

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 500_000
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
+GAP = np.zeros(256, bool)
+GAP[[9, 10, 11, 12, 13, 32]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93  # odd, so that its powers have inverses modulo 2^64
 
@@ -41,7 +41,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-def spans(data: np.ndarray, edges: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, edges: np.ndarray, gap: np.ndarray = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in `data`, and how many words lie before each edge (text boundaries).
 
     `gap` says of each byte whether it is between words.

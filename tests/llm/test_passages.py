@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from checks import compare
@@ -91,3 +92,44 @@ def test_texts_of_one_id_get_only_their_own_windows(spark, monkeypatch):
     rows = [(None, f"{t} {end}") for t in texts for end in ("x", "y")]
     found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["n_removed"] for r in found) == [0] * 20 + [30] * 20
+
+
+def test_automaton_has_no_wide_node():
+    """A root with a child for each word would be searched through for each word of a document."""
+    rnd = np.random.default_rng(1)
+    sections = [rnd.integers(1, 1 << 60, 83).astype(np.uint64) for _ in range(300)]
+    shard = passages._Shard(sections)
+    first = {shard.spelled(s)[0] for s in sections}
+    assert len(first) ** 2 <= 2 * len(shard.words)
+    doc = np.concatenate((sections[7][3:], sections[9], np.arange(5, dtype=np.uint64)))
+    assert (7, -3) in shard.found(doc) and (9, 80) in shard.found(doc) and {i for i, _ in shard.found(doc)} == {7, 9}
+
+
+def test_a_passage_is_not_sent_to_its_only_place_in_the_first_document(spark, monkeypatch):
+    """Sections go where words may go, and only rows that lose words are written as changed."""
+    locate = passages._locate
+    def watched(batches):
+        def checked():
+            for batch in batches:
+                assert 1 not in batch.column(0).to_pylist()
+                yield batch
+        for batch in locate(checked()):
+            assert all(n > 0 for n in batch.column(2).to_pylist())
+            yield batch
+    monkeypatch.setattr(passages, "_locate", watched)
+    passage = " ".join(f"p{i}" for i in range(40))
+    twice = " ".join(f"t{i}" for i in range(25))
+    docs = [(1, f"a {passage} b"), (2, f"c {passage}"), (3, f"{twice} d {twice}"), (4, f"e {passage} f {passage} {twice}")]
+    assert found(passages.repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == by_hand(docs)
+
+
+def test_runs_of_five_common_words_bring_no_text_in(spark, monkeypatch):
+    """Short runs recur by chance; texts that share no run of eight words are not read again."""
+    windows = passages._windows
+    def watched(batches):
+        for batch in batches:
+            assert not batch.num_rows
+            yield from windows(iter([batch]))
+    monkeypatch.setattr(passages, "_windows", watched)
+    docs = [(d, " ".join(w for k in range(30) for w in ("v", "w", "x", "y", "z", f"u{d}k{k}"))) for d in range(30)]
+    assert found(passages.repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == by_hand(docs)
