@@ -151,6 +151,26 @@ def test_trees_beat_regression_where_columns_interact(spark):
     assert right[False] == 1000 and right[True] < 800
 
 
+def test_the_training_query_uses_the_whole_settings(spark, monkeypatch):
+    """No fewer rounds, levels, leaves or terms than the model's own, and every line is trained on or scored."""
+    from checks import registry
+    from ledgerloom.adapters.retail import Retail
+
+    asked = {}
+
+    def fit(train, taxonomy, settings=M.Settings(), categories=X.CATEGORIES, numbers=X.NUMBERS, **more):
+        asked.update(settings=settings, categories=categories, numbers=numbers, more=more, train=train)
+    monkeypatch.setattr(M, "fit", fit)
+    monkeypatch.setattr(M, "score", lambda rows, *_: rows)
+    retail = Retail(spark, "/root/testdata/sf0.001")
+    scored = registry.QUERIES["clf_train_predict"](retail)
+    s = asked["settings"]
+    assert (s.vocabulary, s.min_documents, s.min_category_rows, s.linear) == (20_000, 3, 50, False)
+    assert s.trees == boost.Settings(rounds=300, depth=8, leaves=63, rate=0.05, bins=32, l2=0.0, least_rows=20)
+    assert (asked["categories"], asked["numbers"], asked["more"]) == (X.CATEGORIES, X.NUMBERS, {})
+    assert asked["train"].count() + scored.count() == X.features(retail.lake()).count()
+
+
 def test_odd_training_data(spark):
     rows = spark.createDataFrame([([], [], 0, 1.0), ([0], [1.0], 1, None), ([0], [1.0], None, 1.0), ([0], [1.0], 7, 1.0)], "indices array<int>, vals array<double>, label int, weight double")
     forest = boost.fit(rows, 2, boost.Settings(rounds=2, least_rows=1))
