@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.classify import boost, encode
+from ledgerloom.classify import boost, encode, grow
 from ledgerloom.classify import evaluate as E
 from ledgerloom.classify import features as X
 from ledgerloom.classify import model as M
@@ -140,6 +140,65 @@ def test_trees_by_hand(spark):
     assert np.allclose([got[i] for i in range(len(data))], want, atol=1e-9)
 
 
+def uneven_rows(spark, n=400):
+    """Rows of 1 to 12 entries with repeats among them: terms of several weights, categories, numbers below zero, and two equal features."""
+    rnd, data = random.Random(7), []
+    for i in range(n):
+        x = {f: rnd.choice([0.25, 0.5, 0.75]) for f in rnd.sample(range(8), rnd.choice([0, 1, 2, 7]))}
+        x |= {8 + i % 5: 1.0, 20: float(rnd.randint(-4, 4))}
+        x |= {30: 1.0, 31: 1.0} if i % 3 else {}
+        y = (0.5 in x.values()) + 2 * (x[20] > 0) if rnd.random() < 0.8 else rnd.randint(0, 3)
+        data += [(sorted(x), [x[f] for f in sorted(x)], y, rnd.choice([None, 0.5, 2.0]))] * rnd.choice([1, 1, 3])
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id int, indices array<int>, vals array<double>, label int, weight double").repartition(3)
+
+
+def test_trees_grown_by_class_are_those_of_rows_that_are_spread(spark, monkeypatch, tmp_path):
+    rows, seen = uneven_rows(spark).cache(), []
+    settings = dict(rounds=2, depth=5, leaves=9, rate=0.3, bins=5, least_rows=4, l2=0.1)
+    for held in (10**6, 0):
+        forest = boost.fit(rows, 4, boost.Settings(**settings, entries_a_task=held))
+        seen.append([tuple(r) for r in forest.table(spark).orderBy("round", "class", "node").collect()])
+    by_class, spread = seen
+    assert len(by_class) > 100 and [r[:5] for r in by_class] == [r[:5] for r in spread]  # round, class, node, feature, threshold
+    assert np.allclose([r[5] or 0 for r in by_class], [r[5] or 0 for r in spread], atol=1e-9)
+    assert {r[3] for r in by_class} & {30, 31} <= {30}  # of equal features the first
+    forest.save(spark, str(tmp_path / "f"))
+    again = boost.Forest.load(spark, str(tmp_path / "f"))
+    assert [tuple(r) for r in again.table(spark).orderBy("round", "class", "node").collect()] == spread
+
+
+def test_sums_do_not_depend_on_how_rows_are_held():
+    rnd = np.random.default_rng(3)
+    sizes = rnd.integers(0, 6, 500)
+    codes = np.array([f << 16 | b for f in range(6) for b in range(1 + 3 * (f > 3))])
+    slot = np.concatenate([np.sort([rnd.choice(np.flatnonzero(codes >> 16 == f)) for f in rnd.permutation(6)[:m]]) for m in sizes]).astype(np.int32)
+    label, p = rnd.integers(0, 2, 500), rnd.random(500)
+    s, trees = boost.Settings(depth=6, leaves=20, least_rows=3), []
+    for limit in (grow.SUMS_AT_MOST, 0):
+        data = grow.Rows(label, np.ones(500), sizes, slot, codes)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(grow, "SUMS_AT_MOST", limit)
+            m.setattr(grow, "SLAB", 1 if limit == 0 else 1000)
+            for even in (False, True):
+                if even:
+                    data.even = np.full((500, 6), data.slots, np.int32)
+                    data.even[np.arange(6) < sizes[:, None]] = slot
+                splits, leaves = grow.grown(data, p - label, p * (1 - p), s)
+                assert sorted(np.concatenate([rows for _, rows in leaves.values()])) == list(range(500))
+                trees.append((splits, {k: round(v, 9) for k, (v, _) in leaves.items()}))
+    assert len(trees[0][0]) > 8 and all(t == trees[0] for t in trees)
+
+
+def test_a_round_of_trees_writes_no_table_for_its_levels(spark, monkeypatch):
+    made, rows = [], uneven_rows(spark, 100).cache()
+    settled = boost.settled
+    monkeypatch.setattr(boost, "settled", lambda frame, name="table", **more: made.append(name) or settled(frame, name, **more))
+    for rounds in (1, 4):
+        made.clear()
+        forest = boost.fit(rows, 4, boost.Settings(rounds=rounds, depth=4, least_rows=2))
+        assert len(forest.rounds) == rounds and sorted(made) == ["binned", "cuts", "ends", "rows"]
+
+
 def test_trees_beat_regression_where_columns_interact(spark):
     rows = [(i, float(i % 10), float(i // 10 % 10), "odd" if (i % 10 < 3) != (i // 10 % 10 < 4) else "even") for i in range(1000)]
     df = spark.createDataFrame(rows, f"{X.KEY} int, a double, b double, label string")
