@@ -197,6 +197,8 @@ def test_a_round_of_trees_writes_no_table_for_its_levels(spark, monkeypatch):
         made.clear()
         forest = boost.fit(rows, 4, boost.Settings(rounds=rounds, depth=4, least_rows=2))
         assert len(forest.rounds) == rounds and sorted(made) == ["binned", "cuts", "ends", "rows"]
+    monkeypatch.setattr(spark.sparkContext, "broadcast", None)  # trees are stored once, not once an executor
+    assert forest.probabilities(rows).count() == rows.count()
 
 
 def test_trees_beat_regression_where_columns_interact(spark):
